@@ -1,4 +1,26 @@
-"""The queries and their SQL, by name."""
+"""Every query by name, as a function of (spark, sf_dir), with its SQL where there is one."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .model import with_model
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = with_model(oracle)
+        return f
+
+    return add
+
+
+from . import functions_queries, matching_queries, reading_queries, settling_queries, stream_queries  # noqa: E402, F401
