@@ -74,3 +74,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """docs as one column _doc and a row number _row, so that no column of docs can clash with an operator's own."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    return docs.select(whole, F.monotonically_increasing_id().alias("_row"))
+
+
+def within(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns of wrapped documents, as doc_id, text and so on, beside _row."""
+    return df.select("_row", *(F.col("_doc").getField(c).alias(a) for a, c in (n.split("=") for n in names)))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_rows, materialise, ship, shuffle_partitions, text_or_empty
+from .common import SPACE, arrow_rows, materialise, ship, shuffle_partitions, text_or_empty, within, wrapped
 
 RUN = "node long, digest binary, size_bytes long, check long, keep_id long, keep_row long, copies long"
 KEYS = ["node", "digest", "size_bytes", "check"]
@@ -109,7 +109,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates doesn't keep."""
-    held = materialise(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    gone = exact_duplicates(spark, held, id_col, text_col, "_row").where(~F.col("kept")).select("_row")
-    return held.join(gone, "_row", "left_anti").drop("_row")
+    """docs without the rows that exact_duplicates doesn't keep; all columns stay, whatever their names."""
+    held = materialise(spark, wrapped(docs), "docs")
+    found = exact_duplicates(spark, within(held, f"doc_id={id_col}", f"text={text_col}"), row_col="_row")
+    return held.join(found.where(~F.col("kept")).select("_row"), "_row", "left_anti").select("_doc.*")

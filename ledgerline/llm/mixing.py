@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_or_empty
+from .common import WORD, materialise, text_or_empty, wrapped
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A document is taken at most so many times.
@@ -55,12 +55,12 @@ def level(sizes: DataFrame) -> float:
         at, before = (total - (capped or 0)) / rest, n
 
 
-def plan(spark: SparkSession, docs: DataFrame, seed: int, weights: Sequence[float], id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of docs with _size, _key, _bin; the same without texts, written; one row per source with its target and where its order is cut)."""
-    text = text_or_empty(text_col)
-    rows = docs.withColumns({"_size": words(text), "_key": key(F.col(id_col), quality(text), seed)})
+def plan(spark: SparkSession, docs: DataFrame, seed: int, weights: Sequence[float]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of docs (doc_id, text, source and others that begin with _) with _size, _key, _bin; the same without texts, written; one row per source with its target and where its order is cut)."""
+    text = text_or_empty()
+    rows = docs.withColumns({"_size": words(text), "_key": key(F.col("doc_id"), quality(text), seed)})
     rows = rows.withColumn("_bin", F.floor(F.col("_key") * BINS))
-    small = materialise(spark, rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), "_size", "_key", "_bin"), "keys")
+    small = materialise(spark, rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_size", "_key", "_bin"), "keys")
 
     bins = materialise(spark, small.groupBy("source", "_bin").agg(F.sum("_size").alias("bin_size")), "bins")
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -93,10 +93,10 @@ def plan(spark: SparkSession, docs: DataFrame, seed: int, weights: Sequence[floa
     return rows, small, materialise(spark, known.withColumnRenamed("source", "_source"), "cuts")
 
 
-def joined(rows: DataFrame, cuts: DataFrame, id_col: str, source_col: str) -> DataFrame:
+def joined(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """rows with _taken. cuts has a row per source; Spark broadcasts it where it is small and splits hot sources else."""
-    both = rows.join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
-    mine, edge = F.struct("_key", F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0))), F.struct("cut_key", "cut_blank", F.coalesce("cut_id", F.lit(0).cast("long")))
+    both = rows.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    mine, edge = F.struct("_key", F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.struct("cut_key", "cut_blank", F.coalesce("cut_id", F.lit(0).cast("long")))
     some = F.floor(F.col("_size") * ((F.col("part") - F.col("before")) / F.col("tie_size")))
     # Without a cut all of the source is taken only if the whole of it fits; then part is 0 or no less than its size.
     none_cut = F.when(F.col("part") >= F.col("source_size"), F.col("_size")).otherwise(F.lit(0))
@@ -113,13 +113,15 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 7, weights: Sequence[f
     table gives no rows; further columns are ignored whatever their names. The same rows and seed give the same result.
     """
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    _, small, cuts = plan(spark, held, seed, weights, "doc_id", "text", "source")
-    return joined(small, cuts, "doc_id", "source").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
+    _, small, cuts = plan(spark, held, seed, weights)
+    return joined(small, cuts).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs, each row as often as the mix takes it; the document at a source's edge once more if at least half of it is taken."""
-    rows, _, cuts = plan(spark, docs, seed, weights, id_col, text_col, source_col)
+    own = F.col("_doc")
+    held = wrapped(docs).select("_doc", own.getField(id_col).alias("doc_id"), own.getField(text_col).alias("text"), own.getField(source_col).alias("source"))
+    rows, _, cuts = plan(spark, held, seed, weights)
     times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    out = joined(rows, cuts, id_col, source_col).withColumn("_times", times).where("_times > 0")
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    out = joined(rows, cuts).withColumn("_times", times).where("_times > 0")
+    return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

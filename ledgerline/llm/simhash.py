@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise, ship, text_or_empty
+from .common import arrow_rows, materialise, ship, text_or_empty, within, wrapped
 from .components import connected_components
 
 RADIUS = 4
@@ -255,9 +255,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (its first row, if rows repeat it)."""
-    held = materialise(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-    found = materialise(spark, grouped(spark, held, id_col, text_col, "_row").select("doc_id", "_row", "root", "component_id"), "near")
+    """docs with one document of each component: the one with the smallest doc_id (its first row, if rows repeat it). A
+    component without any doc_id keeps its first row. All columns stay, whatever their names."""
+    held = materialise(spark, wrapped(docs), "docs")
+    found = grouped(spark, within(held, f"doc_id={id_col}", f"text={text_col}"), "doc_id", "text", "_row")
+    found = materialise(spark, found.select("doc_id", "_row", "root", "component_id"), "near")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
     gone = found.join(first.select("_row"), "_row", "left_anti").select("_row")
-    return held.join(gone, "_row", "left_anti").drop("_row")
+    return held.join(gone, "_row", "left_anti").select("_doc.*")
