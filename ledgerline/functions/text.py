@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +42,14 @@ def voiced_pairs() -> list[tuple[str, str]]:
     return out
 
 
+def words_of(words: list[str]) -> Column:
+    """A constant array of words without bars."""
+    return F.split(F.lit("|".join(words)), "[|]")
+
+
 def without_forms(s: Column) -> Column:
     """Every legal form removed anywhere, the longest first, until none is left."""
-    tokens = F.array(*(F.lit(t) for t, _ in CORP_FORMS))
+    tokens = words_of([t for t, _ in CORP_FORMS])
     often = lambda acc, t: F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(acc) / F.length(t)).cast("int")))
     erased = F.aggregate(tokens, s, lambda acc, t: F.aggregate(often(acc, t), acc, lambda a, _: F.replace(a, t, F.lit(""))))
     return F.when(s.rlike("株|有|㈱|㈲|同|合|法人"), erased).otherwise(s)
@@ -50,8 +57,8 @@ def without_forms(s: Column) -> Column:
 
 def widened(s: Column) -> Column:
     """Full-width signs to ASCII, half-width kana to full-width with their voicing marks."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in voiced_pairs()))
-    merged = F.aggregate(pairs, s, lambda acc, p: F.replace(acc, p.a, p.b))
+    pairs = words_of([a + b for a, b in voiced_pairs()])
+    merged = F.aggregate(pairs, s, lambda acc, p: F.replace(acc, F.substring(p, 1, 2), F.substring(p, 3, 1)))
     return F.translate(F.when(s.rlike("[ﾞﾟ]"), merged).otherwise(s), WIDE + HALF_KANA, NARROW + FULL_KANA)
 
 
@@ -117,10 +124,7 @@ REG_LABELS = ["登録番号", "登録", "インボイス", "適格"]
 
 
 def any_of(s: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | s.contains(w)
-    return out
+    return s.rlike("|".join(map(re.escape, words)))
 
 
 def has_corporate(s: Column) -> Column:

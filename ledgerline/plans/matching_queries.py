@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import decision, evaluate, linkage
+from ..operators.staging import staged
 from .model import model
 from .registry import query
 from .sqltext import combined, grams, jac, lev, metrics, norm, trigrams
@@ -34,12 +35,12 @@ SCORED = f"""{BLOCKED}, scored AS (
 
 
 def forms(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.build_forms(model(spark, d, "partners"), model(spark, d, "aliases"))
+    return staged(linkage.build_forms(model(spark, d, "partners"), model(spark, d, "aliases")), "forms")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
     q = model(spark, d, "queries")
-    return q.withColumn("norm", text.normalize(F.col("text")))
+    return staged(q.withColumn("norm", text.normalize(F.col("text"))), "queries")
 
 
 def matched(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators import audit, ledger, settlement
+from ..operators.staging import staged
 from .model import model
 from .registry import query
 from .sqltext import combined, grams, metrics, norm
@@ -39,15 +40,14 @@ DECIDED = f"""{CANDIDATES}, pick AS (SELECT * FROM sc QUALIFY row_number() OVER
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return settlement.targets(model(spark, d, "docs"), model(spark, d, "fields"), model(spark, d, "settlements"))
+    return staged(settlement.targets(model(spark, d, "docs"), model(spark, d, "fields"), model(spark, d, "settlements")), "targets")
 
 
 def txs(spark: SparkSession, d: str) -> DataFrame:
-    return model(spark, d, "transactions").withColumn("normalized_name", text.normalize(F.col("raw_name")))
+    return staged(model(spark, d, "transactions").withColumn("normalized_name", text.normalize(F.col("raw_name"))), "transactions")
 
 
-def doc_forms(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d)
+def doc_forms(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
     alias = model(spark, d, "docs").select("document_id", "partner_id").join(model(spark, d, "aliases"), "partner_id").select("document_id", F.col("alias").alias("form"))
     forms = t.select("document_id", F.col("issuer_name").alias("form")).union(alias.join(t.select("document_id"), "document_id", "left_semi"))
     return forms.select("document_id", text.normalize(F.col("form")).alias("norm")).distinct()
@@ -59,9 +59,9 @@ def partner_forms(spark: SparkSession, d: str) -> DataFrame:
     return both.select("client_id", "name", text.normalize(F.col("form")).alias("norm"))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    pairs = settlement.band_join(docs(spark, d), txs(spark, d))
-    return settlement.score_candidates(pairs, settlement.name_scores(pairs, doc_forms(spark, d)), settlement.ambiguous(txs(spark, d), partner_forms(spark, d)))
+def scored(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
+    x = txs(spark, d)
+    return settlement.candidates(t, x, doc_forms(spark, d, t), partner_forms(spark, d))
 
 
 ROWS = "SELECT *, CAST(row_number() OVER (PARTITION BY file_id, transaction_date, amount, direction, description ORDER BY line_no) - 1 AS INTEGER) AS occurrence FROM {statement_rows}"
@@ -109,24 +109,26 @@ def settle_band_join(spark, d):
 
 @query(f"WITH {BAND}, {NAMES} SELECT document_id, transaction_id, round(name_score, 6) AS name_score FROM ns")
 def settle_name_score(spark, d):
-    pairs = settlement.band_join(docs(spark, d), txs(spark, d))
-    return settlement.name_scores(pairs, doc_forms(spark, d)).select("document_id", "transaction_id", F.round("name_score", 6).alias("name_score"))
+    t = docs(spark, d)
+    pairs = staged(settlement.band_join(t, txs(spark, d)), "pairs")
+    return settlement.name_scores(pairs, doc_forms(spark, d, t)).select("document_id", "transaction_id", F.round("name_score", 6).alias("name_score"))
 
 
 @query(f"WITH {CANDIDATES} SELECT document_id, transaction_id, round(name_score, 6) AS name_score, amount_score, date_score, round(score, 6) AS score, capped FROM sc")
 def settle_score(spark, d):
-    return scored(spark, d).select("document_id", "transaction_id", F.round("name_score", 6).alias("name_score"), "amount_score", "date_score", F.round("score", 6).alias("score"), "capped")
+    return scored(spark, d, docs(spark, d)).select("document_id", "transaction_id", F.round("name_score", 6).alias("name_score"), "amount_score", "date_score", F.round("score", 6).alias("score"), "capped")
 
 
 @query(f"WITH {CANDIDATES} SELECT document_id, transaction_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY round(score, 9) DESC, transaction_date, transaction_id) AS INTEGER) AS rank, CAST(round(score, 6) AS DECIMAL(5,1)) AS score FROM sc")
 def settle_ranked(spark, d):
-    s = scored(spark, d)
+    s = scored(spark, d, docs(spark, d))
     return settlement.ranked(s.withColumn("score", F.round("score", 6))).select("document_id", "transaction_id", "rank", "score")
 
 
 @query(f"WITH {DECIDED} SELECT document_id, status, transaction_id, round(score, 6) AS score FROM dec")
 def settle_decide(spark, d):
-    return settlement.decide(docs(spark, d), scored(spark, d)).select("document_id", "status", "transaction_id", F.round("score", 6).alias("score"))
+    t = docs(spark, d)
+    return settlement.decide(t, scored(spark, d, t)).select("document_id", "status", "transaction_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {DECIDED}, held AS (SELECT s.transaction_id, s.document_id, s.document_id IN (SELECT document_id FROM dec) AS now FROM {{settlements}} s WHERE s.status IN (1, 2)),
@@ -135,7 +137,8 @@ def settle_decide(spark, d):
   fin AS (SELECT document_id, CASE WHEN status = 1 AND document_id NOT IN (SELECT document_id FROM keep) THEN 3 ELSE status END AS status, transaction_id FROM dec)
 SELECT f.document_id, f.status, f.transaction_id, NOT (f.status IS NOT DISTINCT FROM s.status AND f.transaction_id IS NOT DISTINCT FROM s.transaction_id) AS changed FROM fin f LEFT JOIN {{settlements}} s USING (document_id)""")
 def settle_claim(spark, d):
-    out, _ = settlement.settle(docs(spark, d), txs(spark, d), doc_forms(spark, d), partner_forms(spark, d), model(spark, d, "settlements"))
+    t = docs(spark, d)
+    out, _ = settlement.settle(t, txs(spark, d), doc_forms(spark, d, t), partner_forms(spark, d), model(spark, d, "settlements"))
     return out.select("document_id", "status", "transaction_id", "changed")
 
 
