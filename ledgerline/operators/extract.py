@@ -1,59 +1,75 @@
 """Fields from recognised text blocks: lines by position, then scored rules.
 
-Building lines is greedy and depends on the order of blocks, so it runs per document in Python; everything after is
+Building lines is greedy and depends on the order of blocks, so it runs in Python on sorted blocks; everything after is
 DataFrame operations on the lines.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REG_LABELS, any_of, ascii_fold, find_reg_no, find_reg_no_loose, has_corporate, looks_like_address, looks_like_contact, looks_like_doc_no, looks_like_label, looks_like_title, looks_numeric, tidy_name
 from ..functions.values import recognised_amount, recognised_date
 
-LINE = "document_id long, line int, text string, confidence double, x int, y int, w int, h int"
+LINES = "document_id long, all array<struct<line:int,text:string,confidence:double,x:int,y:int,w:int,h:int>>"
 #: How far centres may lie apart in one row, in heights.
 ROW = 0.6
 HONORIFICS = ["御中", "様"]
 TOTALS, NUMBERS = ["合計金額", "合計", "総額", "御請求"], ["No.", "No", "番号", "伝票"]
 
 
-def line_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of one document, in reading order (seq), to lines: a block joins the first row whose first block it is level
-    with; within a row neighbours join from left to right until a gap is wider than the line is high."""
-    rows: list[list] = []
-    for b in pdf.sort_values("seq").itertuples():
-        if not (b.text or "").strip(" \t\r\n"):
+def line_blocks(blocks: Iterable[dict]) -> list[dict]:
+    """Blocks of one document, in reading order, to lines: a block joins the first row whose first block it is level with;
+    within a row neighbours join from left to right until a gap is wider than the line is high."""
+    rows: list[list[dict]] = []
+    for b in blocks:
+        if not (b["text"] or "").strip(" \t\r\n"):
             continue
         for r in rows:
             f = r[0]
-            if abs((f.y + f.h / 2) - (b.y + b.h / 2)) < max(1, f.h, b.h) * ROW:
+            if abs((f["y"] + f["h"] / 2) - (b["y"] + b["h"] / 2)) < max(1, f["h"], b["h"]) * ROW:
                 r.append(b)
                 break
         else:
             rows.append([b])
-    out: list[list] = []
+    out: list[dict] = []
     for r in rows:
-        r.sort(key=lambda b: b.x)
+        r.sort(key=lambda b: b["x"])
         now = None
         for b in r:
-            if now is None or b.x - (now[3] + now[5]) > now[6]:
-                now = [b.document_id, b.text, b.confidence, b.x, b.y, b.w, b.h]
+            if now is None or b["x"] - (now["x"] + now["w"]) > now["h"]:
+                now = {c: b[c] for c in ("text", "confidence", "x", "y", "w", "h")}
                 out.append(now)
                 continue
-            now[1] += b.text
-            now[5] = max(now[3] + now[5], b.x + b.w) - now[3]
-            now[6] = max(now[6], b.h)
-            now[2] = min(now[2], b.confidence)
-    lines = pd.DataFrame(out, columns=["document_id", "text", "confidence", "x", "y", "w", "h"])
-    lines.insert(1, "line", range(len(lines)))
-    return lines
+            now["text"] += b["text"]
+            now["w"] = max(now["x"] + now["w"], b["x"] + b["w"]) - now["x"]
+            now["h"] = max(now["h"], b["h"])
+            now["confidence"] = min(now["confidence"], b["confidence"])
+    return [{"line": i} | line for i, line in enumerate(out)]
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks that come by document and in order, to the lines of each document as one array."""
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string()), ("confidence", pa.float64()), *((c, pa.int32()) for c in "xywh")]))
+    out: list[tuple] = []
+    for doc, blocks in groupby((r for b in batches for r in b.to_pylist()), lambda r: r["document_id"]):
+        if found := line_blocks(blocks):
+            out.append((doc, found))
+        if len(out) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([f for _, f in out], kind)], names=["document_id", "all"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([f for _, f in out], kind)], names=["document_id", "all"])
 
 
 def lines(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("document_id").applyInPandas(line_blocks, LINE)
+    ordered = blocks.repartition("document_id").sortWithinPartitions("document_id", "seq")
+    return ordered.select("document_id", "text", "confidence", *"xywh").mapInArrow(_lines, LINES)
 
 
 def _same_row(a: Column, b: Column) -> Column:
@@ -90,11 +106,9 @@ def extract_fields(blocks: DataFrame) -> DataFrame:
     """blocks (document_id, seq, text, confidence, x, y, w, h) to (document_id, field_key, value, confidence, bbox).
 
     After the lines are built, all that looks around a line looks into the array of its document's lines, and all choices
-    are aggregates by document: one shuffle serves the whole.
+    are aggregates by document.
     """
-    own = lines(blocks)
-    by_doc = own.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line", "text", "confidence", "x", "y", "w", "h"))).alias("all"))
-    by_doc = by_doc.withColumns({"page_w": F.array_max(F.transform("all", lambda b: b.x + b.w)), "page_h": F.array_max(F.transform("all", lambda b: b.y + b.h))})
+    by_doc = lines(blocks).withColumns({"page_w": F.array_max(F.transform("all", lambda b: b.x + b.w)), "page_h": F.array_max(F.transform("all", lambda b: b.y + b.h))})
     each = by_doc.select("document_id", "page_w", "page_h", "all", F.explode("all").alias("l"))
     me = F.col("l")
     others = F.filter("all", lambda b: b.line != F.col("l.line"))
