@@ -160,6 +160,15 @@ def settle_score(name: Column, amount: Column, date: Column) -> Column:
     return F.lit(W_NAME) * name + F.lit(W_AMOUNT) * amount + F.lit(W_DATE) * date
 
 
+def settle_why(status: Column, score: Column, name: Column, amount: Column, date: Column, upper: Column, lower: Column) -> Column:
+    """The reason of a settlement in words; status 1 auto, 3 review, 4 none."""
+    parts = F.format_string("score %.1f (name %.0f, amount %.0f, date %.0f)", score, name, amount, date)
+    return (
+        F.when(score.isNull(), F.lit("no transaction in the range of amount and date")).when(status == 1, F.concat(parts, F.format_string(" is at least %.0f", upper)))
+        .when(status == 3, F.concat(parts, F.lit(" needs a person"))).otherwise(F.concat(parts, F.format_string(" is below %.0f", lower)))
+    )
+
+
 def name_cap(upper: Column, lower: Column) -> Column:
     """The most that an ambiguous name may score so that the whole stays between the thresholds; null where nothing does."""
     ceiling = (upper - F.lit(W_AMOUNT) * 100 - F.lit(W_DATE) * 100 - 1) / F.lit(W_NAME)

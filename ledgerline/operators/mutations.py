@@ -94,3 +94,10 @@ def apply_subscription_event(event: dict[str, Column], old: dict[str, Column], n
     good = paid | event["status"].eqNullSafe(F.lit("active"))
     grace = F.when(good, F.lit(None).cast("timestamp")).when(failed, F.coalesce(old["grace_until"], grace_end(now))).otherwise(old["grace_until"])
     return {"status": status, "grace_until": grace}
+
+
+def confirm_settlements(settlements: DataFrame, orders: DataFrame) -> DataFrame:
+    """settlements after a person confirmed a transaction (status 2) or cash (5): orders (document_id, status,
+    transaction_id, decided_by, decided_at). Candidates are kept apart and stay as they are."""
+    new = orders.select("document_id", F.when(F.col("status") == 2, F.col("transaction_id")).alias("transaction_id"), F.col("status").cast("int").alias("status"))
+    return upsert(settlements.select("document_id", "transaction_id", F.col("status").cast("int").alias("status")), new, ["document_id"])

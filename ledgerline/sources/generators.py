@@ -38,3 +38,38 @@ def descriptions(partners: DataFrame) -> DataFrame:
     each = each.withColumn("trunc", F.explode(F.array(*(F.lit(t) for t in TRUNCATIONS))))
     text = F.when(F.col("trunc") == 0, F.col("whole")).otherwise(F.substr("whole", F.lit(1), F.col("trunc")))
     return each.select("partner_id", "shape", "trunc", text.alias("text"), F.length("whole").alias("full_len"), (text != F.col("whole")).alias("cut"))
+
+
+# How far scans of each kind are degraded.
+PRESETS = {
+    "light": {"angle": 1.0, "noise": 4, "jpeg": 88, "shadow": 0.06, "bleed": 0.03, "fold": 0.3, "fade": 0.15, "blur": 0.3},
+    "normal": {"angle": 2.5, "noise": 9, "jpeg": 72, "shadow": 0.14, "bleed": 0.07, "fold": 0.6, "fade": 0.30, "blur": 0.6},
+    "heavy": {"angle": 4.0, "noise": 16, "jpeg": 55, "shadow": 0.24, "bleed": 0.13, "fold": 0.9, "fade": 0.50, "blur": 1.0},
+}
+ITEMS = ["部品", "工具", "用紙", "送料", "保守"]
+
+
+def forms(partners: DataFrame, n: int, seed: int = SEED) -> DataFrame:
+    """n documents with their truth: doc_type, partner, written name, date, number, rows of items, totals, degradation."""
+    spark = partners.sparkSession
+    count = partners.count()
+    r = lambda k: F.pmod(F.xxhash64("document_id", F.lit(seed + k)), F.lit(1_000_003))
+    docs = spark.range(1, n + 1).select(F.col("id").alias("document_id")).withColumn("partner_id", r(0) % count + 1)
+    lines = F.transform(F.sequence(F.lit(1), (r(1) % 5 + 1).cast("int")), lambda i: F.struct(pick(ITEMS, r(2) + i).alias("item"), ((r(3) + i) % 20 + 1).cast("int").alias("qty"), ((r(4) * i) % 9000 + 100).cast("int").alias("unit")))
+    rows = F.transform(lines, lambda x: F.struct(x.item.alias("item"), x.qty.alias("qty"), x.unit.alias("unit"), (x.qty * x.unit).alias("amount")))
+    preset = pick(list(PRESETS), r(5))
+    out = docs.join(partners.select("partner_id", "canonical", "variants"), "partner_id").withColumn("rows", rows)
+    total = F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x.amount)
+    return out.select(
+        "document_id", (r(6) % 3 + 1).cast("int").alias("doc_type"), "partner_id", F.col("canonical").alias("partner_canonical"), F.element_at("variants", (r(7) % F.size("variants") + 1).cast("int")).alias("partner_name"),
+        F.date_add(F.to_date(F.lit("2026-01-01")), (r(8) % 365).cast("int")).alias("issue_date"), F.format_string("INV-%04d", F.col("document_id")).alias("doc_no"), "rows", total.alias("total"), (total + F.floor(total * 0.1)).alias("total_with_tax"),
+        preset.alias("preset"), (degradation(preset, "angle") * (r(9) / 500_001.5 - 1)).alias("angle"), degradation(preset, "blur").alias("blur"), degradation(preset, "noise").cast("int").alias("noise"),
+        degradation(preset, "jpeg").cast("int").alias("jpeg_quality"), degradation(preset, "shadow").alias("shadow"), degradation(preset, "bleed").alias("bleed"), (r(10) / 1_000_003 < degradation(preset, "fold")).alias("fold"), degradation(preset, "fade").alias("fade"),
+    )
+
+
+def degradation(preset: Column, what: str) -> Column:
+    out = F.lit(None).cast("double")
+    for k, v in PRESETS.items():
+        out = F.when(preset == k, F.lit(float(v[what]))).otherwise(out)
+    return out

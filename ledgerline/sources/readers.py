@@ -167,3 +167,16 @@ def webhook_events(bodies: DataFrame) -> DataFrame:
     status = F.when(F.col("e.type") == "customer.subscription.deleted", "canceled").when(~invoice, F.col("e.data.object.status"))
     known = F.col("e.type").isin("customer.subscription.created", "customer.subscription.updated", "customer.subscription.deleted", "invoice.payment_failed", "invoice.payment_succeeded")
     return e.where(known).select(F.col("e.id").alias("event_id"), F.col("e.type").alias("type"), sub.alias("subscription_id"), status.alias("status"), (F.col("e.type") == "invoice.payment_failed").alias("payment_failed"), (F.col("e.type") == "invoice.payment_succeeded").alias("payment_succeeded"), "received_at")
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a relational database; with a numeric key and its bounds it is read in parts at once."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
+    return reader.load()
+
+
+def write_sheets(df: DataFrame, path: str) -> None:
+    """One CSV with a header for each partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)
