@@ -104,9 +104,7 @@ def shared_gram_topk(spark, d):
 @query(f"{SCORED} SELECT query_id, partner_id, form AS matched, round(score, 6) AS score FROM best")
 def best_alias_fold(spark, d):
     f, q = forms(spark, d), queries(spark, d)
-    blocked = linkage.trigram_candidates(q, f)
-    met = blocked.join(f.select("client_id", "partner_id", "form", F.col("norm").alias("form_norm"), "is_canonical"), ["client_id", "partner_id"])
-    return linkage.best_form(linkage.score_pairs(met), ["query_id", "partner_id"]).select("query_id", "partner_id", "matched", F.round("score", 6).alias("score"))
+    return q.join(linkage.best_candidates(q, f), ["client_id", "norm"]).select("query_id", "partner_id", "matched", F.round("score", 6).alias("score"))
 
 
 @query(f"{SCORED} SELECT query_id, partner_id, rank, form AS matched, round(score, 6) AS score FROM ranked")
@@ -183,10 +181,8 @@ GRID_SQL = ", ".join(f"({i}, {', '.join(f'{x}::DOUBLE' for x in w)})" for i, w i
   count(*) FILTER (s >= 95 AND partner_id <> truth_id) AS wrong_auto FROM top JOIN q USING (query_id) GROUP BY weighting""")
 def weight_sweep(spark, d):
     f, q = forms(spark, d), queries(spark, d)
-    blocked = linkage.trigram_candidates(q, f)
-    met = blocked.join(f.select("client_id", "partner_id", "form", F.col("norm").alias("form_norm"), "is_canonical"), ["client_id", "partner_id"])
-    best = linkage.best_form(linkage.score_pairs(met), ["query_id", "partner_id"])
-    return decision.weight_sweep(best.join(q.select("query_id", "truth_id"), "query_id"))
+    best = staged(linkage.best_candidates(q, f), "candidates")
+    return decision.weight_sweep(q.select("client_id", "norm", "query_id", "truth_id").join(best, ["client_id", "norm"]))
 
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
