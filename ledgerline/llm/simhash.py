@@ -103,29 +103,33 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
+def _reached(front: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """left split into what links with a point of front and what doesn't."""
+    found = [left[:0]]
+    step = max(1, (1 << 20) // len(left))
+    for i in range(0, len(front), step):
+        if not len(left):
+            break
+        hit = near(front[i : i + step, None], left[None, :]).any(0)
+        found.append(left[hit])
+        left = left[~hit]
+    return np.concatenate(found), left
+
+
 def spanning(fp: np.ndarray, other: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that join what links within fp, or between fp and other: each point is reached once, so edges stay linear."""
+    """Edges that join what links within fp, or between fp and other (there along links of one side's point with one of
+    the other's, to and fro): each point is reached once, so edges stay linear."""
     out = []
-    if other is not None:
-        for i in range(0, len(fp), 256):
-            hit = near(fp[i : i + 256, None], other[None, :])
-            for rows, cols, a, b in ((hit, 1, fp[i : i + 256], other), (hit.T, 1, other, fp[i : i + 256])):
-                some = rows.any(cols)
-                out.append((a[some], b[rows[some].argmax(cols)]))
-        return out
-    left = fp
-    while len(left) > 1:
-        root, front, left = left[:1], left[:1], left[1:]
-        while len(front) and len(left):
-            found = []
-            step = max(1, (1 << 20) // len(left))
-            for i in range(0, len(front), step):
-                if not len(left):
-                    break
-                hit = near(front[i : i + step, None], left[None, :]).any(0)
-                found.append(left[hit])
-                left = left[~hit]
-            front = np.concatenate(found)
+    # What isn't reached yet, of the side to look in and the side of the front; within fp both are one.
+    sides = [fp] if other is None else [fp, other]
+    while len(sides[0]) > (other is None) and len(sides[-1]):
+        root, front, at = sides[0][:1], sides[0][:1], 0
+        sides[0] = sides[0][1:]
+        while len(front):
+            at = (at + 1) % len(sides)
+            if not len(sides[at]):
+                break
+            front, sides[at] = _reached(front, sides[at])
             if len(front):
                 out.append((front, np.repeat(root, len(front))))
     return out

@@ -107,6 +107,42 @@ def test_hot_cells_are_split_into_slabs(spark, monkeypatch):
     assert len({roots.get(x, x) for x in signed}) == 1
 
 
+def components_of(nodes, edges):
+    root = {int(x): int(x) for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        root[find(int(u))] = find(int(v))
+    held = defaultdict(set)
+    for x in root:
+        held[find(x)].add(x)
+    return {frozenset(v) for v in held.values()}
+
+
+def test_slab_pairs_keep_chains_whole():
+    """Chains in 3-bit steps dealt over two slabs: only links from slab to slab join them, and all must be joined."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        points = []
+        for _ in range(6):
+            bits = rng.permutation(64)[:60].reshape(20, 3)
+            steps = np.array([sum(1 << int(b) for b in row) for row in bits], np.uint64)
+            points.append(np.bitwise_xor.accumulate(np.r_[rng.integers(0, 2**63, 1, dtype=np.uint64), steps]))
+        side = np.concatenate([np.arange(len(c)) % 2 for c in points])
+        fps = np.concatenate(points)
+        order = rng.permutation(len(fps))
+        fps, side = fps[order], side[order]
+        a, b = fps[side == 0], fps[side == 1]
+        hit = np.argwhere(np.bitwise_count(a[:, None] ^ b[None]) <= 4)
+        want = components_of(fps, [(a[i], b[j]) for i, j in hit])
+        edges = [(u, v) for us, vs in simhash.spanning(a, b) for u, v in zip(us, vs, strict=True)]
+        assert components_of(fps, edges) == want and len(edges) == len(fps) - len(want)
+
+
 def test_connected_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 700)] + [(1, 2), (2, 1), (7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
