@@ -2,9 +2,9 @@
 
 Both models are variable-order Markov models: the probability of a character is interpolated over contexts of none to
 ORDER characters, each order weighted by how often its context was seen (Witten-Bell). One is of URLs that the rules
-allow, one of those they block. Their counts cover every URL of the table that a rule decides; contexts are held in
-2**SLOT_BITS slots by hash, so the models' size is bounded whatever the corpus. A URL without a rule is blocked where
-its log-likelihood difference for each character is above a threshold, which is set where allowed and blocked URLs are
+allow, one of those they block. Their counts cover every URL of the table that a rule decides and are exact: a context
+and the character after it are one number, and the models hold each that occurs, so they grow with the distinct contexts
+of the table and none shares a count with another. A URL without a rule is blocked where its log-likelihood difference for each character is above a threshold, which is set where allowed and blocked URLs are
 told apart best on histograms over all URLs with a rule.
 """
 
@@ -19,8 +19,8 @@ from .common import arrow_rows, ship
 
 #: Host, path and verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-ORDER, SLOT_BITS = 4, 18
-SLOTS = 1 << SLOT_BITS
+#: Characters are UTF-8 bytes and START, which stands before the first.
+ORDER, START, BASE = 4, 256, 257
 BINS, REACH = 400, 4.0
 
 
@@ -49,92 +49,97 @@ def verdict(rule_: Column, rules=RULES) -> Column:
     return out
 
 
-def contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(URL of each character, slots of its contexts by order, slots of contexts with the character), over UTF-8 bytes."""
+def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(URL of each character, the ORDER characters before it and itself as one number to BASE), over UTF-8 bytes."""
     raw = [u.encode("utf-8", "replace") + b"\n" for u in urls]
     lengths = np.array([len(r) for r in raw], np.int64)
-    code = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    code = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     which = np.repeat(np.arange(len(raw)), lengths)
     place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    before = np.zeros((ORDER + 1, len(code)), np.uint64)
+    gram = code.copy()
     for k in range(1, ORDER + 1):
-        past = np.zeros(len(code), np.uint64)
-        past[k:] = code[:-k]
-        past[place < k] = 1  # before the start
-        before[k] = (before[k - 1] * np.uint64(257) + past + np.uint64(1)) & np.uint64((1 << 56) - 1)
-    orders = np.arange(ORDER + 1, dtype=np.uint64)[:, None]
-    return which, _slot(before * np.uint64(8) + orders, 1), _slot((before * np.uint64(257) + code[None] + np.uint64(1)) * np.uint64(8) + orders, 2)
+        past = np.full(len(code), START, np.int64)
+        past[k:] = np.where(place[k:] < k, START, code[:-k])
+        gram += past * BASE**k
+    return which, gram
+
+
+def _by_order(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each order, the context of each gram and the context with the character, each with its order as last digit."""
+    orders = np.arange(ORDER + 1)
+    widths = np.array([BASE**k for k in orders])[:, None]
+    before = gram[None] // BASE % widths * (ORDER + 1) + orders[:, None]
+    after = gram[None] % (widths * BASE) * (ORDER + 1) + orders[:, None]
+    return before, after
+
+
+def contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(URL of each character, its contexts by order, contexts with the character), over UTF-8 bytes."""
+    which, gram = _grams(urls)
+    return which, *_by_order(gram)
 
 
-def _slot(x: np.ndarray, seed: int) -> np.ndarray:
-    """Multiplicative hash of 64 bits to SLOT_BITS."""
-    with np.errstate(over="ignore"):
-        x = (x + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(32)
-        x = x * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+class Table:
+    """Counts by key; 0 for a key that never occurred."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, where = np.unique(keys, return_inverse=True)
+        self.n = np.bincount(where, n, len(self.keys)) if len(keys) else np.zeros(0)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0.0)
 
 
 class Model:
-    """seen: count of each context slot; with_: count of context and character; kinds: distinct characters after a context."""
+    """seen: count of each context; with_: count of context and character; kinds: distinct characters after a context.
+
+    All follow from the grams of the highest order and their counts."""
 
-    def __init__(self, seen: np.ndarray, with_: np.ndarray, kinds: np.ndarray):
-        self.seen, self.with_, self.kinds = seen.astype(float), with_.astype(float), kinds.astype(float)
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        before, after = _by_order(gram)
+        each = np.tile(n, ORDER + 1)
+        self.seen, self.with_ = Table(before.ravel(), each), Table(after.ravel(), each)
+        one, order = np.divmod(self.with_.keys, ORDER + 1)
+        self.kinds = Table(one // BASE * (ORDER + 1) + order, np.ones(len(one)))
 
     def log_probability(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         p = np.full(before.shape[1], 1 / 256)
         for k in range(before.shape[0]):
-            n, t = self.seen[before[k]], self.kinds[before[k]]
-            c = np.minimum(self.with_[after[k]], n)
+            n, t, c = self.seen[before[k]], self.kinds[before[k]], self.with_[after[k]]
             p = np.where(n > 0, (c + t * p) / np.maximum(n + t, 1), p)
         return np.log(p)
 
 
 def _counts(batches):
-    """(url, blocked) rows to (table, slot, n): table 0 and 1 contexts, 2 and 3 contexts with a character, of either class."""
-    total = np.zeros((4, SLOTS), np.int64)
-    pairs: list[set] = [set(), set()]
+    """(url, blocked) rows to (blocked, gram, n), each gram once for a batch and class."""
     for b in batches:
         urls, blocked = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for kind in (0, 1):
             own = [u for u, x in zip(urls, blocked.tolist(), strict=True) if x == bool(kind)]
             if own:
-                _, before, after = contexts(own)
-                total[kind] += np.bincount(before.ravel(), minlength=SLOTS)
-                total[2 + kind] += np.bincount(after.ravel(), minlength=SLOTS)
-                pairs[kind].update(np.unique(before.ravel() << SLOT_BITS | after.ravel()).tolist())
-    for table_ in range(4):
-        slots = np.flatnonzero(total[table_])
-        yield from _emit(table_, slots, total[table_][slots])
-    for kind in (0, 1):
-        slots = np.array(sorted(pairs[kind]), np.int64)
-        yield from _emit(4 + kind, slots, np.ones(len(slots), np.int64))
-
-
-def _emit(table_: int, slots: np.ndarray, n: np.ndarray):
-    for i in range(0, len(slots), 65_536):
-        part = slots[i : i + 65_536]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), table_, np.int32)), pa.array(part), pa.array(n[i : i + 65_536])], names=["kind", "slot", "n"])
+                gram, n = np.unique(_grams(own)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind, np.int32)), pa.array(gram), pa.array(n)], names=["kind", "gram", "n"])
 
 
 def train(spark: SparkSession, judged: DataFrame) -> tuple[Model, Model]:
     """Models of allowed and blocked URLs from all rows (url, blocked)."""
-    counts = judged.mapInArrow(_counts, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-    # Distinct pairs of a context and a character become the number of characters after a context.
-    kinds = counts.where("kind >= 4").select((F.col("kind") + 0).alias("kind"), F.shiftright("slot", SLOT_BITS).alias("slot")).groupBy("kind", "slot").agg(F.count("*").alias("n"))
-    rows = counts.where("kind < 4").union(kinds).toArrow()  # at most 6 * SLOTS
-    table_, slot, n = (rows.column(c).to_numpy() for c in ("kind", "slot", "n"))
-    full = np.zeros((6, SLOTS))
-    full[table_, slot] = n
-    return Model(full[0], full[2], full[4]), Model(full[1], full[3], full[5])
+    counts = judged.mapInArrow(_counts, "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+    rows = counts.toArrow()  # a row for each distinct gram of either class
+    kind, gram, n = (rows.column(c).to_numpy() for c in ("kind", "gram", "n"))
+    return Model(gram[kind == 0], n[kind == 0]), Model(gram[kind == 1], n[kind == 1])
 
 
 def ratios(urls: list[str], allowed: Model, blocked: Model) -> np.ndarray:
     """Log-likelihood of each URL as a blocked one less that as an allowed one, for each character."""
     if not urls:
         return np.zeros(0)
-    which, before, after = contexts(urls)
-    diff = blocked.log_probability(before, after) - allowed.log_probability(before, after)
+    which, gram = _grams(urls)
+    gram, at = np.unique(gram, return_inverse=True)
+    before, after = _by_order(gram)
+    diff = (blocked.log_probability(before, after) - allowed.log_probability(before, after))[at]
     return np.bincount(which, diff, len(urls)) / np.bincount(which, minlength=len(urls))
 
 

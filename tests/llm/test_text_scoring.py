@@ -195,6 +195,37 @@ def test_model_equals_dictionary_counts():
     assert all(len(v) == 1 for v in keys.values()) and len({next(iter(v)) for v in keys.values()}) == len(keys)
 
 
+def test_url_counts_stay_exact_beyond_any_table_size(spark):
+    """More distinct contexts than 2**18: each keeps its own count, and so its Witten-Bell probability."""
+    rng = np.random.default_rng(4)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    sample = ["".join(x) for x in rng.choice(alphabet, (12_000, 40))]
+    allowed, _ = urls.train(spark, spark.createDataFrame([(u, False) for u in sample], "url string, blocked boolean").repartition(3))
+    seen, with_, after = Counter(), Counter(), defaultdict(set)
+    for u in sample:
+        full = ["^"] * urls.ORDER + [*u, "\n"]
+        for i in range(urls.ORDER, len(full)):
+            for k in range(urls.ORDER + 1):
+                c = k, *full[i - k : i]
+                seen[c] += 1
+                with_[c, full[i]] += 1
+                after[c].add(full[i])
+    assert len(with_) > 1 << 18
+    tried = sample[:20] + ["".join(x) for x in rng.choice(alphabet, (20, 40))]
+    _, b, a = urls.contexts(tried)
+    want = []
+    for u in tried:
+        full = ["^"] * urls.ORDER + [*u, "\n"]
+        for i in range(urls.ORDER, len(full)):
+            p = 1 / 256
+            for k in range(urls.ORDER + 1):
+                c = k, *full[i - k : i]
+                if seen[c]:
+                    p = (with_[c, full[i]] + len(after[c]) * p) / (seen[c] + len(after[c]))
+            want.append(math.log(p))
+    assert np.allclose(allowed.log_probability(b, a), want)
+
+
 # Token counts
 
 SMALL = ["▁", "▁the", "t", "h", "e", "he", "the", "er", "▁a", "a", "an", "n", "ab", "b", "c"]
