@@ -2,8 +2,12 @@
 
 The channel writes letters as look-alike digits and signs, repeats them, or sets them apart. A token that shows signs
 of it becomes a lattice of characters (each look-alike as the letters it may stand for, or left out; each run of three
-or more as one or two; letters set apart drawn together), and the Viterbi path under a character trigram model is its
-restored form. The model's counts cover every text of the corpus. Tokens of letters alone have one path, their own.
+or more as one or two), and the Viterbi path under a character trigram model is its restored form. The model's counts
+cover every text of the corpus. Tokens of letters alone have one path, their own.
+
+A text is a lattice too, in which every gap between pieces may be a space or nothing. A piece of two or more plain
+letters fixes the model's state, so the best path is found stretch by stretch between such pieces, and a stretch is
+decoded once for all texts. Its words are added to those of the text as it is written.
 
 Scores come from a logistic model over the words and word beginnings that a restored text holds, fitted on a bounded
 sample of the labelled rows.
@@ -24,8 +28,8 @@ from .common import arrow_rows, materialise, ship, text_or_empty
 
 #: What look-alikes may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-#: Costs in nats of a look-alike, of a sign left out, of a run kept double.
-COST_LOOK, COST_DROP, COST_DOUBLE = 1.0, 2.5, 0.7
+#: Costs in nats of a look-alike, of a sign left out, of a run kept double, of a gap that is none.
+COST_LOOK, COST_DROP, COST_DOUBLE, COST_GAP = 1.0, 2.5, 0.7, 1.0
 SYMBOLS, OTHER = 64, 60
 #: Rows of each label in the training sample, and features of the model.
 PER_CLASS, FEATURES = 4000, 3000
@@ -35,7 +39,7 @@ PREFIXES = (4, 5, 6)
 TRIM = ".,;:?!%&*#\"'`()[]{}<>=_~^/\\-…«»“”„’‘¡¿"
 RUN3 = re.compile(r"(.)\1\1")
 EDGE_RUN = re.compile(r"^(?:([^\w\s])\1{2,})+|(?:([^\w\s])\2{2,})+$")
-APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+€])){3,}(?!\S)")
+APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+€])){2,}(?!\S)")
 
 
 def symbol_table() -> np.ndarray:
@@ -98,6 +102,8 @@ class Restorer:
     def __init__(self, model: CharacterModel):
         self.rows = model.log.tolist()
         self.seen: dict[str, str] = {}
+        self.pieces: dict[str, tuple[str, bool, bool, bool]] = {}
+        self.gaps: dict[str, str] = {}
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """Per position, what the character may have been, with the channel's cost."""
@@ -120,12 +126,16 @@ class Restorer:
         return out
 
     def decode(self, token: str) -> str:
-        """The Viterbi path; a state is the last two symbols."""
+        """The Viterbi path of a token that stands alone."""
+        return self.path([*self.lattice(token), [(" ", 0.0)]], (0, 0)).strip()
+
+    def path(self, steps: list[list[tuple[str, float]]], start: tuple[int, int]) -> str:
+        """The Viterbi path through choices at each step; a state is the last two symbols, and paths are linked backwards."""
         rows = self.rows
-        states = {(0, 0): (0.0, "")}
-        for choices in [*self.lattice(token), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+        states = {start: (0.0, None)}
+        for choices in steps:
+            new: dict[tuple[int, int], tuple] = {}
+            for (a, b), (score, back) in states.items():
                 for chars, cost in choices:
                     x, y, total = a, b, score - cost
                     for c in chars:
@@ -134,9 +144,82 @@ class Restorer:
                         x, y = y, z
                     old = new.get((x, y))
                     if old is None or total > old[0]:
-                        new[x, y] = (total, text + chars)
+                        new[x, y] = (total, (back, chars))
             states = new
-        return max(states.values())[1].strip()
+        back, out = max(states.values(), key=lambda s: s[0])[1], []
+        while back is not None:
+            back, chars = back
+            out.append(chars)
+        return "".join(reversed(out))
+
+    def piece(self, token: str) -> tuple[str, bool, bool, bool]:
+        """(what a token encloses, whether it is two plain letters or more, whether it may join with what is before, after)."""
+        found = self.pieces.get(token)
+        if found is None:
+            if len(self.pieces) > self.MOST:
+                self.pieces.clear()
+            core = token.strip(TRIM)
+            joins = bool(core) and all(c.isalpha() or c in LOOKS for c in core)
+            plain = len(core) > 1 and core.isalpha() and not RUN3.search(core)
+            found = self.pieces[token] = core, plain, joins and token.startswith(core), joins and token.endswith(core)
+        return found
+
+    def stretch(self, head: str, inner: list[str], tail: str) -> str:
+        """What stands between the last two letters of one piece and the first two of the next (or a boundary, if empty)."""
+        key = f"{head} {' '.join(inner)} {tail}"
+        found = self.gaps.get(key)
+        if found is None:
+            gap, even = [(" ", 0.0), ("", COST_GAP)], [(" ", 0.0), ("", 0.0)]
+            steps = []
+            for i, token in enumerate(inner):
+                # Where single letters follow each other, a gap tells nothing about words.
+                here = even if i and len(token) == len(inner[i - 1]) == 1 else gap
+                steps += ([here] if head or i else []) + self.lattice(token)
+            steps += [gap] * bool(tail) + [[(tail or " ", 0.0)]]
+            found = self.path(steps, (symbol(head[0]), symbol(head[1])) if head else (0, 0))
+            found = found[: -len(tail)] if tail else found
+            if len(self.gaps) > self.MOST:
+                self.gaps.clear()
+            if len(key) <= 64:
+                self.gaps[key] = found
+        return found
+
+    def respaced(self, tokens: list[str]) -> set[str]:
+        """Words of the best path over a text's gaps, without those of stretches that stay as they are."""
+        out, inner, known, piece = [], [], self.gaps, self.piece
+        head, after, changed = "", False, False
+
+        def close(tail):
+            nonlocal changed
+            if inner:
+                found = self.stretch(head, inner, tail)
+                changed = changed or found.split() != inner or head and found[0] != " " or tail and found[-1] != " "
+                out.append(found if head else f" {found}")
+                inner.clear()
+            else:
+                out.append(" ")
+
+        for token in tokens:
+            core, plain, left, right = piece(token)
+            if not left or not after:
+                close("")
+                head = ""
+            if plain:
+                if head and not inner:
+                    found = known.get(f"{head}  {core[:2]}") or self.stretch(head, [], core[:2])
+                    out.append(found)
+                    changed = changed or found != " "
+                elif head or inner:
+                    close(core[:2])
+                out.append(core)
+                head = core[-2:]
+            elif left or right:
+                inner.append(core)
+            else:
+                head = ""
+            after = right
+        close("")
+        return set("".join(out).split()) if changed else set()
 
     def word(self, token: str) -> str:
         """A lower-case token without what encloses it, restored where it shows signs of the channel."""
@@ -156,10 +239,14 @@ class Restorer:
         """The distinct restored words of a whole text."""
         low = text.lower()
         tokens = set(low.split())
-        for m in APART.finditer(low):
+
+        def apart(m):
             drawn = re.sub(r"[ .\-_*]", "", m[0])
             if not drawn.isdigit():
                 tokens.add(drawn)
+            return " ".join(drawn)
+
+        tokens |= self.respaced(APART.sub(apart, low).split())
         return {self.word(t) for t in tokens}
 
 

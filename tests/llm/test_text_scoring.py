@@ -34,6 +34,17 @@ def test_restores_obfuscated_words():
     assert r.words("Nice People, 12 %%%") == {"nice", "people", ""} | ({"12"} if "12" in r.words("12") else set())
 
 
+def test_gaps_are_part_of_the_lattice():
+    r = toxicity.Restorer(model_of([ENGLISH] * 50))
+    assert {"a", "idiot"} <= r.words("a i d i o t") and {"you", "idiot"} <= r.words("y o u i d i o t")
+    assert {"the", "idiot", "and"} <= r.words("so t h e i d i o t a n d")
+    assert "idiot" in r.words("you id iot") and "moron" in r.words("a mor on, he said") and "idiot" in r.words("a 1 d i 0 t")
+    assert "the" in r.words("nice t h e") and "the" in r.words("(t h e)")
+    assert r.words(ENGLISH) == set(ENGLISH.split())
+    assert "idiot" not in r.words("some id, iot") and r.words("i") == {"i"} and r.words("") == set()
+    assert {"you", "idiot"} <= r.words(" ".join("youidiot" * 20_000))
+
+
 def test_trigrams_cover_whole_texts():
     long = "ab" * (1 << 20)
     total = sum(sum(b.column(1).to_pylist()) for b in toxicity._trigrams([toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array([long])], names=["t"])]))
