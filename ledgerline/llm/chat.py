@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ship
+from .common import ship
 
 #: Strings that mark turns; in texts they never appear unescaped.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -399,7 +399,6 @@ def format_conversations(spark: SparkSession, conversations: DataFrame, template
     length needs the memory of a few parts.
     """
     ship(spark)
-    arrow_rows(spark, 512)
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     held = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
     held = held.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "text")

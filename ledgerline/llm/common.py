@@ -44,8 +44,15 @@ def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches to Python, the same for every operator: a lazy plan may run after another operator was called.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 20_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so Python workers can import it wherever they run."""
+    """Bound Arrow batches in rows and bytes, so that whole texts may be long, and send this package to the executors once
+    per context, so that Python workers can import it wherever they run."""
+    for name, most in BATCH.items():
+        spark.conf.set(name, str(most))
     sc = spark.sparkContext
     if getattr(sc, "_ledgerline_shipped", False):
         return
@@ -60,14 +67,6 @@ def ship(spark: SparkSession) -> None:
     sc._ledgerline_shipped = True
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """How many rows an Arrow batch to Python may hold in the plans that run from now on.
-
-    Whole texts can be long, so operators that send them to Python take few at a time; operators on short rows take many.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

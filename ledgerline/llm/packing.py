@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ship, text_or_empty
+from .common import ship, text_or_empty
 from .tokenizing import WordTokenizer
 
 MOST, LEAST = 4096, 256
@@ -126,7 +126,7 @@ class StepGroups:
         return number
 
 
-def pack_partition(batches, tokenizer: Callable[[list[str]], list[bytes]], base: int):
+def pack_partition(batches, tokenizer: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], base: int):
     """Record batches (doc_id, text) to record batches of SCHEMA. base: the first sequence_id and step group."""
     rows: list[tuple] = []
     groups, sequences = StepGroups(), 0
@@ -149,10 +149,13 @@ def pack_partition(batches, tokenizer: Callable[[list[str]], list[bytes]], base:
     packer = Packer(emit)
     end = np.array([END], "<u4").tobytes()
     for b in batches:
-        for doc_id, ids in zip(b.column(0).to_pylist(), tokenizer(b.column(1).to_pylist()), strict=True):
-            packer.add(doc_id, ids + end)
-        if len(rows) >= 4096:
-            yield flush()
+        flat, lengths = tokenizer(b.column(1))
+        at = 0
+        for doc_id, n in zip(b.column(0).to_pylist(), lengths.tolist(), strict=True):
+            packer.add(doc_id, flat[at : at + n].tobytes() + end)
+            at += n
+            if len(rows) >= 4096:
+                yield flush()
     packer.pack(True)
     if rows:
         yield flush()
@@ -167,7 +170,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str
     gives no rows; further columns are ignored whatever their names.
     """
     ship(spark)
-    arrow_rows(spark, 256)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(json.dumps(json.load(f)))
 

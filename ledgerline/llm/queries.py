@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, mixing, packing, secrets, simhash, token_counts, topk, toxicity, urls
-from .common import arrow_rows, table
+from .common import table
 
 PIECES, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -56,9 +56,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), token_counts.load_pieces(tokenizer_file(PIECES)))
-    arrow_rows(spark, 256)
-    return out
+    return token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), token_counts.load_pieces(tokenizer_file(PIECES)))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_chat, op4_toxicity, op5_secrets, op6_exact_dedup, op7_packing, op8_mixing, op9_urls, op10_token_counts)}

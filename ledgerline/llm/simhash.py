@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise, ship, text_or_empty, within, wrapped
+from .common import materialise, ship, text_or_empty, within, wrapped
 from .components import connected_components
 
 RADIUS = 4
@@ -217,7 +217,6 @@ def hot_cell_links(spark: SparkSession, handed: DataFrame) -> DataFrame:
 
 def near_links(spark: SparkSession, classes: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that join all that differ in at most four bits."""
-    arrow_rows(spark, 20_000)
     cells = classes.select("fp").mapInArrow(_cells, "cell long, fp long")
     links = cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_within, "u long, v long, cell long, slab long")
     links = materialise(spark, links, "links")
@@ -231,7 +230,6 @@ def near_links(spark: SparkSession, classes: DataFrame) -> DataFrame:
 def grouped(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """doc_id, _row, fp, root (the least fingerprint of the component), component_id."""
     ship(spark)
-    arrow_rows(spark, 256)
     row = F.col(row_col) if row_col else F.lit(0).cast("long")
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("_row"), text_or_empty(text_col).alias("_text"))
     prints = materialise(spark, prints.mapInArrow(_fingerprints, "doc_id long, _row long, fp long"), "prints")

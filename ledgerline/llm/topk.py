@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise, ship, shuffle_partitions
+from .common import materialise, ship, shuffle_partitions
 
 #: Rows of a block, and queries that are sent to the executors at once.
 BLOCK, QUERIES = 8192, 16_384
@@ -161,7 +161,6 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 5, scale:
     the index.
     """
     ship(spark)
-    arrow_rows(spark, 4096)
     rows = materialise(spark, quantised(vectors, id_col, vector_col, scale).repartition(shuffle_partitions(spark), "row"), "quantised")
     asked = rows.where(is_query)
     passes = max(1, -(-asked.count() // QUERIES))

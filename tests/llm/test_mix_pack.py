@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -76,7 +77,13 @@ def test_mixed_documents_repeat_rows(spark):
 def test_tokenizer_equals_the_library():
     t, own = Tokenizer.from_file(PATH), WordTokenizer(open(PATH, encoding="utf-8").read())
     texts = [r[1] or "" for r in rows()] + ["a<|endoftext|>b <|startoftext|>", "İstanbul ΑΣ ﬁ x\x1cy é  z don't IT'S a''s 12ab", "e\u0301 \u0301x \xa0 \u3000 日本", "<|end", "'s's ''ll ŉ ß ẞ"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time from the cache
+        flat, n = own(pa.array(texts))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+    own.MOST = 0
+    assert own(pa.array(texts))[0].tolist() == flat.tolist()
+    assert [x.tolist() for x in own(pa.array([], pa.string()))] == [[], []]
 
 
 def check(pieces, texts):
