@@ -1,21 +1,26 @@
 """Token counts under a unigram model by dynamic programming over a trie of the distinct pre-tokens.
 
-The distinct pre-tokens of a batch of documents, in sorted order, are the trie: the path from the root to a node is a
-prefix, and each node's forward score (the best score of any segmentation of the prefix, and the tokens of that
-segmentation) depends on the path alone. It is computed once for all pre-tokens that share the prefix and kept on a
-stack while the walk is below the node. A terminal node stores the count of its pre-token. A document's count is the
-sum over its pre-tokens.
+The distinct pre-tokens of a block of documents are inserted in a trie. A node is a prefix; its forward score (the best
+score of any segmentation of the prefix, and the tokens of that segmentation) is computed once for all pre-tokens that
+share the prefix. A terminal node stores the count of its pre-token, and a document's count is the sum over its
+pre-tokens.
+
+No vocabulary at hand comes with the probabilities of a unigram model, and tokenizers are not trained here. Pieces have
+those of Zipf's law by rank, so counts are of this model and not those of the merges from which the vocabulary stems.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ship, text_or_empty
+from .common import ship, text_or_empty
+from .tokenizing import distinct_words, totals
 
 MARK = "▁"
 
@@ -34,11 +39,51 @@ def load_pieces(model_path: str) -> list[str]:
     return [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
+class Trie:
+    """Nodes of the prefixes of words that are inserted in sorted order; node 0 is the empty prefix.
+
+    Each node holds the best score of any segmentation of its prefix and the tokens of that segmentation. They depend on
+    the prefix alone, so they are computed when the node is made, once for all words below it.
+    """
+
+    def __init__(self, counter: TrieCounter):
+        self.counter = counter
+        self.best, self.used = array("d", [0.0]), array("q", [0])
+        self.path, self.nodes = "", [0]  # the last word and its nodes
+
+    def insert(self, word: str) -> int:
+        """The word's terminal node."""
+        scores, tails, longest, floor = self.counter.scores, self.counter.tails, self.counter.longest, self.counter.floor
+        path, nodes, best, used = self.path, self.nodes, self.best, self.used
+        shared, most = 0, min(len(path), len(word))
+        while shared < most and path[shared] == word[shared]:
+            shared += 1
+        del nodes[shared + 1 :]
+        for end in range(shared + 1, len(word) + 1):
+            width = len(word[end - 1].encode("utf-8", "replace"))
+            top, count = best[nodes[end - 1]] + floor * width, used[nodes[end - 1]] + width
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                part = word[start:end]
+                if part not in tails:
+                    break
+                score = scores.get(part)
+                if score is not None:
+                    node = nodes[start]
+                    total = best[node] + score
+                    if total > top or (total == top and used[node] + 1 < count):
+                        top, count = total, used[node] + 1
+            nodes.append(len(best))
+            best.append(top)
+            used.append(count)
+        self.path = word
+        return nodes[-1]
+
+
 class TrieCounter:
     """Token counts of pre-tokens. A character that no piece covers costs one token a UTF-8 byte, each below any piece."""
 
-    #: Counts kept at most before they are forgotten.
-    MOST = 1_000_000
+    #: Characters of pre-tokens whose counts are kept at most before they are forgotten.
+    MOST = 4_000_000
     _made: dict[int, TrieCounter] = {}
 
     def __init__(self, scores: dict[str, float]):
@@ -47,7 +92,8 @@ class TrieCounter:
         self.floor = min(scores.values(), default=0.0) - 10.0
         # Where a suffix ends no piece, no longer one does.
         self.tails = {p[i:] for p in scores for i in range(len(p))}
-        self.counts: dict[bytes, int] = {}
+        self.counts: dict[str, int] = {}
+        self.held = 0
 
     @classmethod
     def shared(cls, pieces: list[str]) -> TrieCounter:
@@ -57,40 +103,23 @@ class TrieCounter:
             cls._made[key] = cls(zipf_scores(pieces))
         return cls._made[key]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Walks the trie of words depth first: sorted words, each resuming at the node it shares with the last."""
-        scores, tails, longest, floor, counts = self.scores, self.tails, self.longest, self.floor, self.counts
-        path, best, used = "", [0.0], [0]
-        for word in sorted(words):
-            full = MARK + word.decode("utf-8")
-            shared, most = 0, min(len(path), len(full))
-            while shared < most and path[shared] == full[shared]:
-                shared += 1
-            del best[shared + 1 :], used[shared + 1 :]
-            for end in range(shared + 1, len(full) + 1):
-                width = len(full[end - 1].encode("utf-8", "replace"))
-                top, count = best[end - 1] + floor * width, used[end - 1] + width
-                for start in range(end - 1, max(0, end - longest) - 1, -1):
-                    part = full[start:end]
-                    if part not in tails:
-                        break
-                    score = scores.get(part)
-                    if score is not None:
-                        total = best[start] + score
-                        if total > top or (total == top and used[start] + 1 < count):
-                            top, count = total, used[start] + 1
-                best.append(top)
-                used.append(count)
-            path = full
-            counts[word] = used[-1]
-
-    def __call__(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(pre-tokens, tokens) of each text."""
-        words = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.counts) > self.MOST:
-            self.counts.clear()
-        self.learn(set().union(*words).difference(self.counts))
-        return [(len(w), sum(map(self.counts.__getitem__, w))) for w in words]
+    def learn(self, words: list[str]) -> None:
+        """A trie of the words that are new; the count at each terminal node is kept."""
+        if self.held > self.MOST:
+            self.counts, self.held = {}, 0
+        new = sorted(w for w in words if w not in self.counts)
+        trie = Trie(self)
+        terminal = [trie.insert(MARK + w) for w in new]
+        self.counts.update(zip(new, map(trie.used.__getitem__, terminal), strict=True))
+        self.held += sum(map(len, new))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pre-tokens and tokens of each text."""
+        counts, index, words = distinct_words(texts)
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
+        each = np.fromiter(map(self.counts.__getitem__, words), np.int64, len(words))
+        return counts, totals(each[index], counts)
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,13 +130,12 @@ def count_tokens(spark: SparkSession, docs: DataFrame, pieces: list[str], id_col
     ignored whatever their names. No row is shuffled.
     """
     ship(spark)
-    arrow_rows(spark, 256)
     sent = spark.sparkContext.broadcast(pieces)
 
     def run(batches):
         counter = TrieCounter.shared(sent.value)
         for b in batches:
-            found = counter(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+            words, tokens = counter(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array(tokens)], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
