@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from ledgerline.llm import components, exact_dedup, simhash
@@ -180,6 +181,30 @@ def test_exact_duplicates_equal_brute_force(spark):
         assert sum(r.kept for r in got) == len(kept) and all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_runs_are_merged_in_blocks(monkeypatch):
+    """Sorted runs of many small blocks, equal digests across runs and blocks, null identifiers: against a dictionary."""
+    monkeypatch.setattr(exact_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    runs, want = [], defaultdict(list)
+    for run in range(6):
+        digests = sorted(hashlib.sha256(bytes([x])).digest() for x in rng.integers(0, 90, 120).tolist())
+        ids = [None if x == 0 else int(x) for x in rng.integers(0, 50, len(digests))]
+        for i, (h, doc_id) in enumerate(zip(digests, ids, strict=True)):
+            want[h].append((doc_id is None, doc_id or 0, run * 1000 + i))
+        runs.append((digests, ids, [run * 1000 + i for i in range(len(digests))]))
+    arrays = lambda d, i, r: [pa.array(d, pa.binary()), pa.array([3] * len(d), pa.int64()), pa.array([5] * len(d), pa.int64()), pa.array(i, pa.int64()), pa.array(r, pa.int64())]
+    names = ["digest", "size_bytes", "check", "doc_id", "_row"]
+    batches = lambda run: [pa.RecordBatch.from_arrays(arrays(*(c[k : k + 11] for c in run)), names=names) for k in range(0, len(run[0]), 11)]
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))
+    sent = [b for run in runs for b in exact_dedup.first_runs(batches(run), 1, 1)]
+    assert max(len(x) for b in sent for x in b.column(2).to_pylist()) <= 7 * exact_dedup.RECORD.itemsize
+    rows = sorted((r for b in sent for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+    sorted_ = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 3], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["node", "first", "block"]) for k in range(0, len(rows), 3)]
+    got = [r for b in exact_dedup.opened(sorted_) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    least = {h: min(x) for h, x in want.items()}
+    assert got == [(h, 3, 5, None if least[h][0] else least[h][1], least[h][2], len(want[h])) for h in sorted(want)]
+
+
 def test_exact_duplicates_of_nothing(spark):
     assert exact_dedup.exact_duplicates(spark, empty(spark)).count() == 0
     assert exact_dedup.drop_exact_duplicates(spark, empty(spark)).columns == empty(spark).columns
