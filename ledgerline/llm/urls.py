@@ -2,10 +2,13 @@
 
 Both models are variable-order Markov models: the probability of a character is interpolated over contexts of none to
 ORDER characters, each order weighted by how often its context was seen (Witten-Bell). One is of URLs that the rules
-allow, one of those they block. Their counts cover every URL of the table that a rule decides and are exact: a context
-and the character after it are one number, and the models hold each that occurs, so they grow with the distinct contexts
-of the table and none shares a count with another. A URL without a rule is blocked where its log-likelihood difference for each character is above a threshold, which is set where allowed and blocked URLs are
-told apart best on histograms over all URLs with a rule.
+allow, one of those they block. Their counts are exact tables with a row for each context and character that occurs, so
+they grow with the data and stay distributed: nothing of them is collected or sent to all executors. Probabilities are
+found order by order, each from a join with those of the next shorter context, in which a row has at most as many
+partners as there are characters.
+
+A URL without a rule is blocked where its log-likelihood difference for each character is above a threshold. One in FOLDS
+of the URLs with a rule is left out of the counts and calibrates it: there allowed and blocked ones are told apart best.
 """
 
 from __future__ import annotations
@@ -15,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ship
+from .common import materialise, ship
 
 #: Host, path and verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Characters are UTF-8 bytes and START, which stands before the first.
 ORDER, START, BASE = 4, 256, 257
 BINS, REACH = 400, 4.0
+FOLDS = 4
+#: Rows of a block, within which equal grams are looked up once.
+BLOCK = 4096
 
 
 def host(url: Column) -> Column:
@@ -64,83 +70,66 @@ def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return which, gram
 
 
-def _by_order(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each order, the context of each gram and the context with the character, each with its order as last digit."""
-    orders = np.arange(ORDER + 1)
-    widths = np.array([BASE**k for k in orders])[:, None]
-    before = gram[None] // BASE % widths * (ORDER + 1) + orders[:, None]
-    after = gram[None] % (widths * BASE) * (ORDER + 1) + orders[:, None]
-    return before, after
-
-
-def contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(URL of each character, its contexts by order, contexts with the character), over UTF-8 bytes."""
-    which, gram = _grams(urls)
-    return which, *_by_order(gram)
-
-
-class Table:
-    """Counts by key; 0 for a key that never occurred."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys, where = np.unique(keys, return_inverse=True)
-        self.n = np.bincount(where, n, len(self.keys)) if len(keys) else np.zeros(0)
-
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.n[at], 0.0)
-
-
-class Model:
-    """seen: count of each context; with_: count of context and character; kinds: distinct characters after a context.
-
-    All follow from the grams of the highest order and their counts."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        before, after = _by_order(gram)
-        each = np.tile(n, ORDER + 1)
-        self.seen, self.with_ = Table(before.ravel(), each), Table(after.ravel(), each)
-        one, order = np.divmod(self.with_.keys, ORDER + 1)
-        self.kinds = Table(one // BASE * (ORDER + 1) + order, np.ones(len(one)))
-
-    def log_probability(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        p = np.full(before.shape[1], 1 / 256)
-        for k in range(before.shape[0]):
-            n, t, c = self.seen[before[k]], self.kinds[before[k]], self.with_[after[k]]
-            p = np.where(n > 0, (c + t * p) / np.maximum(n + t, 1), p)
-        return np.log(p)
-
-
 def _counts(batches):
-    """(url, blocked) rows to (blocked, gram, n), each gram once for a batch and class."""
+    """(url, blocked) rows to (gram, allowed, blocked), each gram once for a batch."""
     for b in batches:
-        urls, blocked = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for kind in (0, 1):
-            own = [u for u, x in zip(urls, blocked.tolist(), strict=True) if x == bool(kind)]
-            if own:
-                gram, n = np.unique(_grams(own)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind, np.int32)), pa.array(gram), pa.array(n)], names=["kind", "gram", "n"])
+        which, gram = _grams(b.column(0).to_pylist())
+        kind = b.column(1).to_numpy(zero_copy_only=False).astype(bool)[which]
+        gram, at = np.unique(gram, return_inverse=True)
+        each = [np.bincount(at[kind == k], minlength=len(gram)) for k in (False, True)]
+        yield pa.RecordBatch.from_arrays([pa.array(gram), *map(pa.array, each)], names=["gram", "n0", "n1"])
+
 
+def _asked(batches):
+    """(block, url) rows to the distinct grams of each block."""
+    for b in batches:
+        which, gram = _grams(b.column(1).to_pylist())
+        block = b.column(0).to_numpy()[which]
+        order = np.lexsort([gram, block])
+        block, gram = block[order], gram[order]
+        new = np.r_[True, (block[1:] != block[:-1]) | (gram[1:] != gram[:-1])] if len(gram) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(gram[new])], names=["block", "gram"])
 
-def train(spark: SparkSession, judged: DataFrame) -> tuple[Model, Model]:
-    """Models of allowed and blocked URLs from all rows (url, blocked)."""
-    counts = judged.mapInArrow(_counts, "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    rows = counts.toArrow()  # a row for each distinct gram of either class
-    kind, gram, n = (rows.column(c).to_numpy() for c in ("kind", "gram", "n"))
-    return Model(gram[kind == 0], n[kind == 0]), Model(gram[kind == 1], n[kind == 1])
 
+def probabilities(grams: DataFrame) -> DataFrame:
+    """Grams, each once, with their counts n0 and n1 in the two classes (or 0), to (gram, p0, p1).
 
-def ratios(urls: list[str], allowed: Model, blocked: Model) -> np.ndarray:
-    """Log-likelihood of each URL as a blocked one less that as an allowed one, for each character."""
-    if not urls:
-        return np.zeros(0)
-    which, gram = _grams(urls)
-    gram, at = np.unique(gram, return_inverse=True)
-    before, after = _by_order(gram)
-    diff = (blocked.log_probability(before, after) - allowed.log_probability(before, after))[at]
-    return np.bincount(which, diff, len(urls)) / np.bincount(which, minlength=len(urls))
+    Of order k, a row is a context of k characters with the one after it; what precedes them in the gram makes the rows
+    of order k + 1. A context that was never seen has the probabilities of the next shorter one.
+    """
+    shorter = None
+    for k in range(ORDER + 1):
+        rows = grams.groupBy(F.expr(f"gram % {BASE ** (k + 1)}L").alias("after")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        rows = rows.withColumns({"before": F.expr(f"after div {BASE}"), "lower": F.expr(f"after % {BASE**k}L")})
+        seen = rows.groupBy("before").agg(*(x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"seen{c}"), F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}"))))
+        rows = rows.join(seen, "before")
+        if shorter is None:
+            rows = rows.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            rows = rows.join(shorter.select(F.col("after").alias("lower"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "lower")
+        mixed = lambda c: (F.col(f"n{c}") + F.col(f"kinds{c}") * F.col(f"q{c}")) / (F.col(f"seen{c}") + F.col(f"kinds{c}"))
+        shorter = rows.select("after", *(F.when(F.col(f"seen{c}") > 0, mixed(c)).otherwise(F.col(f"q{c}")).alias(f"p{c}") for c in (0, 1)))
+    return shorter.withColumnRenamed("after", "gram")
+
+
+def _score(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """A block's rows with their scores; known: the log-likelihood differences of the block's grams."""
+    which, gram = _grams(rows.column("url").to_pylist())
+    own, first = np.unique(known.column("gram").to_numpy(), return_index=True)
+    diff = known.column("diff").to_numpy()[first][np.searchsorted(own, gram)]
+    score = np.bincount(which, diff, rows.num_rows) / np.bincount(which, minlength=rows.num_rows)
+    return rows.drop_columns(["block", "url"]).append_column("score", pa.array(score, pa.float64()))
+
+
+def scored(spark: SparkSession, rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """rows (block, url and others) with the log-likelihood of each URL as a blocked one less that as an allowed one, for each
+    character, in place of block and url. counted: (url, blocked) rows for the models. URLs are not null."""
+    asked = materialise(spark, rows.select("block", "url").mapInArrow(_asked, "block long, gram long"), "asked")
+    grams = counted.select("url", "blocked").mapInArrow(_counts, "gram long, n0 long, n1 long").union(asked.select("gram", F.lit(0), F.lit(0)))
+    grams = materialise(spark, grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+    diffs = materialise(spark, probabilities(grams).select("gram", (F.log("p1") - F.log("p0")).alias("diff")), "diffs")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("block", "url"))
+    return rows.groupBy("block").cogroup(asked.join(diffs, "gram").groupBy("block")).applyInArrow(_score, f"{schema}, score double")
 
 
 def threshold(histogram: dict[tuple[int, int], int]) -> float:
@@ -154,41 +143,27 @@ def threshold(histogram: dict[tuple[int, int], int]) -> float:
     return (float(best[len(best) // 2]) + 1) / BINS * 2 * REACH - REACH
 
 
-def _bin(r: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor((r + REACH) / (2 * REACH) * BINS), 0, BINS).astype(np.int32)
+def bin_of(score: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor((score + REACH) / (2 * REACH) * BINS))).cast("int")
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score.
 
     A null URL or one without `://` has an empty host and path, and no rule. score is the length-normalised ratio. Where
-    the rules decide no URL either way, the method allows. Rows that repeat are judged alike; a null page_id stays null;
-    an empty table gives no rows; further columns are ignored whatever their names.
+    the URLs that calibrate hold only one of the classes, the method allows. Rows that repeat are judged alike; a null
+    page_id stays null; an empty table gives no rows; further columns are ignored whatever their names.
     """
     ship(spark)
-    arrow_rows(spark, 4096)
     held = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    held = held.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    held = held.withColumn("rule", rule(F.col("host"), F.col("path"), rules))
-    decided = held.where("rule is not null").select(F.coalesce("url", F.lit("")).alias("url"), (verdict(F.col("rule"), rules) == "block").alias("blocked"))
-    models = train(spark, decided)
-    sent = spark.sparkContext.broadcast(models)
-
-    def bins(batches):
-        for b in batches:
-            r = _bin(ratios(b.column(0).to_pylist(), *sent.value))
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(r)], names=["blocked", "bin"])
-
-    counts = {(r.blocked, r.bin): r["count"] for r in decided.mapInArrow(bins, "blocked int, bin int").groupBy("blocked", "bin").count().collect()}
-    both = {k for k, _ in counts} == {0, 1}
-    bar = threshold(counts) if both else float("inf")
-    names = ["page_id", "host", "path", "rule", "score"]
-
-    def run(batches):
-        for b in batches:
-            r = ratios([u or "" for u in b.column(1).to_pylist()], *sent.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(r)], names=names)
-
-    out = held.mapInArrow(run, "page_id long, host string, path string, rule string, score double")
+    held = held.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "url": F.coalesce("url", F.lit(""))})
+    held = held.withColumns({"rule": rule(F.col("host"), F.col("path"), rules), "block": F.floor(F.monotonically_increasing_id() / BLOCK)})
+    held = held.withColumns({"blocked": verdict(F.col("rule"), rules) == "block", "calibrates": F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0})
+    held = materialise(spark, held, "urls")
+    found = scored(spark, held, held.where("rule is not null and not calibrates"))
+    found = materialise(spark, found, "scored")
+    bins = found.where("rule is not null and calibrates").groupBy(F.col("blocked").cast("int").alias("kind"), bin_of(F.col("score")).alias("bin")).count()
+    counts = {(r.kind, r.bin): r["count"] for r in bins.collect()}  # at most two for each bin
+    bar = threshold(counts) if {k for k, _ in counts} == {0, 1} else float("inf")
     own = F.when(F.col("score") >= bar, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce(verdict(F.col("rule"), rules), own).alias("verdict"), "score")
+    return found.select("page_id", "host", "path", "rule", F.coalesce(verdict(F.col("rule"), rules), own).alias("verdict"), "score")
