@@ -1,10 +1,11 @@
 """Secrets in texts: fixed patterns, and a randomness test battery with false-discovery control. DataFrame functions only.
 
-Tokens of an inferred encoding (hexadecimal, base 32, base 64) are tested for being random: Pearson's chi-squared of
-the symbol counts against a uniform alphabet, the Wald-Wolfowitz runs test of symbols above and below the alphabet's
-middle, and the serial correlation of neighbouring symbols. A token is a candidate while none of the three rejects
-randomness (Bonferroni, level ``BATTERY``). Its p-value as ordinary text is the chance that an ordinary identifier of
-its length changes character class as often; longer tokens say more and weigh more, so p is divided by the token's
+Tokens of 20 or more characters with letters and digits are tested for being random, in the encoding that is inferred
+(hexadecimal, base 32, base 36, base 64): Pearson's chi-squared of the symbol counts against a uniform alphabet, the
+Wald-Wolfowitz runs test of symbols above and below the alphabet's middle, and the serial correlation of neighbouring
+symbols. A token is a candidate while none of the three rejects randomness (Bonferroni, level ``BATTERY``). Its p-value
+as ordinary text is the chance that an ordinary identifier of its length changes character class as often; longer tokens
+say more and weigh more, so p is divided by the token's
 length over the mean length of all candidates, and the Benjamini-Hochberg step over all candidates' weighted values
 (held as counts in bins of log p, not as rows) gives the bar that accepted tokens must pass.
 """
@@ -12,6 +13,7 @@ length over the mean length of all candidates, and the Benjamini-Hochberg step o
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,36 +23,85 @@ from .common import materialise, text_or_empty
 #: Fixed patterns, the group whose length counts, and the least length.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {"assign": (ASSIGN, 1, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}
-#: Tokens of which an encoding may be inferred.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]+={0,2}"
+#: Tokens of which an encoding may be inferred. What fixed patterns found is BLANK in the text that is searched, and a
+#: token of which it holds a part is no match.
+BLANK = "\ue000"
+TOKEN = rf"(?<![A-Za-z0-9+/_{BLANK}-])(?=[A-Za-z0-9+/_-]{{20}})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]++(?!{BLANK})={{0,2}}"
+#: In the order in which they are tried.
 ENCODINGS = {
     "hex": ("0123456789abcdef", r"^(?:[0-9a-f]+|[0-9A-F]+)$"),
-    "base32": ("abcdefghijklmnopqrstuvwxyz234567", r"^[A-Z2-7]+$"),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^(?=.*[a-z])(?=.*[A-Z])(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$"),
+    "base32": ("abcdefghijklmnopqrstuvwxyz234567", r"^(?:[A-Z2-7]+|[a-z2-7]+)$"),
+    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?:[0-9a-z]+|[0-9A-Z]+)$"),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/_-]+$"),
 }
 #: Level of the battery, false-discovery rate, chance of a class change between neighbours in ordinary identifiers, bins of -log10 p.
 BATTERY, RATE, CHANGE, BINS = 0.001, 0.01, 0.15, 10
+#: -log p beyond which candidates count alike; the bar never lies above.
+STRONGEST = 100.0
 KINDS = ["assign", "access", "hex", "random"]
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+MATCH = "array<struct<start:bigint,end:bigint,size:bigint,whole:string>>"
+#: Matches whose places are found in one go.
+BLOCK = 128
 
 
-def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Spans of the leftmost non-overlapping matches in code points; what lies between matches gives their places."""
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _length(x: Column) -> Column:
+    return F.char_length(x).cast("long")
+
+
+def placed(rows: Column) -> Column:
+    """Rows (gap before, length, size, whole) to matches with their places: those of a block of rows one after another, and
+    those of blocks from the blocks' lengths, so arrays that grow stay short."""
+
+    def step(acc, r):
+        start = acc.at + r.gap
+        found = F.struct(start.alias("start"), (start + r.length).alias("end"), r["size"].alias("size"), r.whole.alias("whole"))
+        return F.struct((start + r.length).alias("at"), F.concat(acc.out, F.array(found)).alias("out"))
+
+    empty = F.array().cast(MATCH).alias("out")
+    within = lambda x, at: F.aggregate(x, F.struct(at.alias("at"), empty), step, lambda a: a.out)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, r: n + r.gap + r.length)
+    add = lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
+    starts = lambda sums: F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), add, lambda a: a.out)
+    cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), lambda k: F.slice(r, k * BLOCK + 1, F.lit(BLOCK)))
+    return let(rows, lambda r: let(cut(r), lambda blocks: F.flatten(F.zip_with(blocks, starts(F.transform(blocks, total)), within))))
+
+
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches with their places in code points, the size of the group, and what is matched."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("long"))
-    sizes = F.transform(whole, lambda x: F.char_length(x).cast("long"))
-    rows = F.zip_with(F.zip_with(between, sizes, lambda b, s: F.struct(b.alias("b"), s.alias("s"))), part, lambda r, p: F.struct(r.b.alias("b"), r.s.alias("s"), F.char_length(p).alias("n")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    row = lambda r, p: F.struct(_length(r.gap).alias("gap"), _length(r.whole).alias("length"), _length(p).alias("size"), r.whole.alias("whole"))
+    # What lies between matches gives their places; the last piece has no match after it.
+    rows = let(whole, lambda w: F.zip_with(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(w)), w, lambda g, x: F.struct(g.alias("gap"), x.alias("whole"))), part, row))
+    return F.when(text.rlike(pattern), placed(rows)).otherwise(F.array().cast(MATCH))
 
-    def step(acc, r):
-        at = acc.at + r.b
-        end = at + r.s
-        found = F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        # The last piece between matches has no match after it: s is null there.
-        return F.struct(F.coalesce(end, at).alias("at"), F.when(r.n >= least, F.concat(acc.out, F.array(found))).otherwise(acc.out).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda a: a.out)).otherwise(F.array().cast(SPAN))
+def spans(found: Column, least: int, kind: int) -> Column:
+    return F.transform(F.filter(found, lambda m: m["size"] >= least), lambda m: F.struct(m.start.alias("start"), F.lit(kind).alias("kind"), m.end.alias("end")))
+
+
+def blanked(text: Column, pattern: str, group: int, least: int) -> Column:
+    """text with BLANK for each character of the spans."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    filler = F.zip_with(whole, part, lambda w, p: F.when(F.char_length(p) >= least, F.repeat(F.lit(BLANK), F.char_length(w))).otherwise(w))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), filler, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+
+def loose(text: Column) -> Column:
+    """start:end:token of the tokens that no span of a fixed pattern overlaps."""
+    as_text = lambda x: F.transform(matches(x, TOKEN), lambda m: F.concat_ws(":", m.start.cast("string"), m.end.cast("string"), m.whole))
+    found = as_text(text)
+    for name, (pattern, group, least) in PATTERNS.items():
+        without = F.array_intersect(found, as_text(blanked(text, pattern, group, least)))
+        found = F.when(F.size(f"_{name}") > 0, without).otherwise(found)
+    return found
 
 
 def digest(found: Column) -> Column:
@@ -157,11 +208,10 @@ def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     text = F.col("_text")
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
     for kind, (name, (pattern, group, least)) in enumerate(PATTERNS.items()):
-        held = held.withColumn(f"_{name}", spans(text, pattern, group, least, kind))
+        held = held.withColumn(f"_{name}", spans(matches(text, pattern, group), least, kind))
     held = held.withColumn("_base", F.concat(*(f"_{k}" for k in PATTERNS)))
-    loose = spans(text, TOKEN, 0, 20, len(PATTERNS))
-    loose = F.filter(loose, lambda s: ~F.exists("_base", lambda b: (b.start < s.end) & (s.start < b.end)))
-    held = held.withColumn("_loose", F.transform(loose, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.substring(text, (s.start + 1).cast("int"), (s.end - s.start).cast("int")).alias("token"))))
+    part = lambda x, i: F.split_part(x, F.lit(":"), F.lit(i))
+    held = held.withColumn("_loose", F.transform(loose(text), lambda x: F.struct(part(x, 1).cast("long").alias("start"), part(x, 2).cast("long").alias("end"), part(x, 3).alias("token"))))
     sizes = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]
     held = materialise(spark, held.select("doc_id", *sizes, "_base", tested(F.col("_loose")).alias("_tested")), "secrets")
 
@@ -169,9 +219,9 @@ def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     tests, total = each.agg(F.count("*"), F.sum("n")).first()
     mean = float(total or 0) / max(1, tests) or 1.0
     weighted = lambda t: t["strength"] + F.log(t["n"] / F.lit(mean))
-    bins = each.where("random").select(F.least(F.lit(100 * BINS), F.floor(BINS * weighted(each))).cast("int").alias("bin"))
+    bins = each.where("random").select(F.least(F.lit(int(STRONGEST) * BINS), F.floor(BINS * weighted(each))).cast("int").alias("bin"))
     need = bar({r["bin"]: r["count"] for r in bins.groupBy("bin").count().collect()}, tests)
-    found = F.filter("_tested", lambda t: t.random & (F.least(F.lit(100.0), weighted(t)) >= F.lit(need)))
+    found = F.filter("_tested", lambda t: t.random & (F.least(F.lit(STRONGEST), weighted(t)) >= F.lit(need)))
     more = F.transform(found, lambda t: F.struct(t.start.alias("start"), F.lit(len(PATTERNS)).alias("kind"), t.end.alias("end")))
     return held.select(
         "doc_id", *(f"n_{k}" for k in PATTERNS), F.sha2(digest(F.col("_base")), 256).alias("base_sha256"),
