@@ -1,15 +1,20 @@
 import hashlib
+import itertools
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerline.llm import secrets, token_counts, toxicity, urls
+from ledgerline.llm.tokenizing import Slots
 
 from .fixtures import DOC, documents, empty, rows
 
@@ -27,28 +32,131 @@ def model_of(texts):
 ENGLISH = "you are an idiot and a stupid moron who talks trash about the people in this town but the other people are nice and they like to listen to good music at the weekend"
 
 
+def words(model, *texts):
+    """The words of which the texts hold features, by text."""
+    slots = Slots()
+    text, found = toxicity.Finder(model, slots.__getitem__)(pa.array(texts, pa.string()))
+    names = list(slots)
+    out = [{names[f] for t, f in zip(text, found, strict=True) if t == i and names[f][0] != "^"} for i in range(len(texts))]
+    return out[0] if len(texts) == 1 else out
+
+
 def test_restores_obfuscated_words():
-    r = toxicity.Restorer(model_of([ENGLISH] * 50))
+    model = model_of([ENGLISH] * 50)
+    r = toxicity.Restorer(model)
     assert r.word("1d10t") == "idiot" and r.word("m0r0n,") == "moron" and r.word("idiooooot") in ("idiot", "idioot")
-    assert {"stupid", "trash"} <= r.words("you $tup1d tr@sh") and "idiot" in r.words("an i d i o t here") and "moron" in r.words("m.o.r.o.n")
-    assert r.words("Nice People, 12 %%%") == {"nice", "people", ""} | ({"12"} if "12" in r.words("12") else set())
+    assert {"stupid", "trash"} <= words(model, "you $tup1d tr@sh") and "idiot" in words(model, "an i d i o t here") and "moron" in words(model, "m.o.r.o.n")
+    assert words(model, "Nice People, 12 %%%") == {"nice", "people"}
 
 
 def test_gaps_are_part_of_the_lattice():
-    r = toxicity.Restorer(model_of([ENGLISH] * 50))
-    assert {"a", "idiot"} <= r.words("a i d i o t") and {"you", "idiot"} <= r.words("y o u i d i o t")
-    assert {"the", "idiot", "and"} <= r.words("so t h e i d i o t a n d")
-    assert "idiot" in r.words("you id iot") and "moron" in r.words("a mor on, he said") and "idiot" in r.words("a 1 d i 0 t")
-    assert "the" in r.words("nice t h e") and "the" in r.words("(t h e)")
-    assert r.words(ENGLISH) == set(ENGLISH.split())
-    assert "idiot" not in r.words("some id, iot") and r.words("i") == {"i"} and r.words("") == set()
-    assert {"you", "idiot"} <= r.words(" ".join("youidiot" * 20_000))
+    model = model_of([ENGLISH] * 50)
+    assert "idiot" in words(model, "a i d i o t") and {"you", "idiot"} <= words(model, "y o u i d i o t")
+    assert {"the", "idiot", "and"} <= words(model, "so t h e i d i o t a n d")
+    assert "idiot" in words(model, "you id iot") and "moron" in words(model, "a mor on, he said") and "idiot" in words(model, "a 1 d i 0 t")
+    assert "the" in words(model, "nice t h e") and "the" in words(model, "(t h e)")
+    assert words(model, ENGLISH) == {w for w in ENGLISH.split() if len(w) > 2}
+    assert "idiot" not in words(model, "some id, iot") and words(model, "i") == words(model, "") == set()
+    assert {"you", "idiot"} <= words(model, " ".join("youidiot" * 20_000))
+
+
+def test_viterbi_equals_enumeration():
+    """Every path of a lattice, scored from start to end: none is better than the one found."""
+    model = model_of([ENGLISH] * 5)
+    r, log = toxicity.Restorer(model), model.log
+
+    def score(chars, cost, start, end):
+        s = [*start, *(toxicity.symbol(c) for c in chars), *end]
+        return sum(log[x, y, z] for x, y, z in zip(s, s[1:], s[2:])) - cost
+
+    rng = random.Random(3)
+    for _ in range(150):
+        steps = r.lattice("".join(rng.choice("idot10@!$aaé9|") for _ in range(rng.randint(1, 6))))
+        steps = [x for step in steps for x in ([[(" ", 0.0), ("", 1.0)]] if rng.random() < 0.3 else []) + [step]]
+        start, end = rng.choice([(0, 0), (3, 9)]), rng.choice([(0,), (4, 9)])
+        each = [("".join(c for c, _ in path), sum(x for _, x in path)) for path in itertools.product(*steps)]
+        best = max(score(c, x, start, end) for c, x in each)
+        got = r.path(steps, start, end)
+        assert max(score(c, x, start, end) for c, x in each if c == got) >= best - 1e-9
+
+
+def plain_respaced(model, text):
+    """Words of the best path over a text's gaps, token by token; without those of stretches that stay as they are."""
+    r, finder = toxicity.Restorer(model), toxicity.Finder(model, lambda f: None)
+    out, inner, head, after = [], [], (), False
+    changed = False
+
+    def close(tail):
+        nonlocal changed
+        if inner:
+            read, other = r.stretch(head, tuple(inner), tail)
+            changed |= other
+            out.append(read if head else f" {read}")
+            inner.clear()
+        else:
+            out.append(" ")
+
+    for token in text.split():
+        core, _, bits = finder.described(token)
+        plain, left, right, _, first, last = toxicity.unpacked(bits)
+        if not left or not after:
+            close(())
+            out.append(" ")
+            head = ()
+        if plain:
+            if head and not inner:
+                read = r.path([[(" ", 0.0), ("", toxicity.COST_GAP)]], head, divmod(first, 64))
+                changed |= read != " "
+                out.append(read)
+            elif head or inner:
+                close(divmod(first, 64))
+            out.append(core)
+            head = divmod(last, 64)
+        elif left or right:
+            inner.append(core)
+        else:
+            head = ()
+        after = right
+    close(())
+    return set("".join(out).split()) if changed else set()
+
+
+def test_features_equal_a_plain_reading():
+    model = model_of([ENGLISH] * 5)
+    rng = random.Random(8)
+    parts = ENGLISH.split() + ["id", "iot", "stu", "pid", "mor", "on,", "1", "d10t", "$tup1d", "a", "i", "10", "%%%", "(the", "end)", "x-y", "ooooh", "é", "42.", "!!!"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    r = toxicity.Restorer(model)
+    for text, got in zip(texts, words(model, *texts), strict=True):
+        drawn = []
+        low = toxicity.Finder(model, lambda f: None).drawn(text, drawn.extend)
+        want = {r.word(w) for w in {*low.split(), *drawn, *plain_respaced(model, low)}}
+        assert got == {w for w in want if len(w) > 2}, text
+
+
+def test_scores_equal_a_plain_sum():
+    model = model_of([ENGLISH] * 5)
+    weights = {"idiot": 1.5, "^idio": 0.25, "stupid": 2.0, "^stup": 0.5}
+    texts = ["an idiot", "stupid idiots", "nothing", None, "1d10t id iot"]
+    z = [sum(weights[f] for f in {f for w in ws for f in toxicity.features(w)} if f in weights) - 1 for ws in ({"idiot"}, {"stupid", "idiots"}, {"nothing"}, set(), {"idiot"})]
+    assert np.allclose(toxicity.Scorer(model, weights, -1.0)(pa.array(texts)), [1 / (1 + math.exp(-x)) for x in z])
+
+
+def test_long_tokens_take_linear_time():
+    model = model_of([ENGLISH] * 5)
+    began = time.monotonic()
+    signs = "title" + "-" * 100_000 + "text"
+    got = words(model, signs, "-*" * 100_000 + "text", "---***" * 50_000 + "moron" + "==" * 100_000, "a1" * 100_000, "x" * 1_000_000, "i d " * 50_000)
+    assert "text" in got[1] and "moron" in got[2] and time.monotonic() - began < 60
+    assert toxicity.trimmed("--a--") == "a" and toxicity.trimmed("---...!!a---") == "a" and toxicity.trimmed("___a") == "a" and toxicity.trimmed("---") == ""
 
 
 def test_trigrams_cover_whole_texts():
     long = "ab" * (1 << 20)
     total = sum(sum(b.column(1).to_pylist()) for b in toxicity._trigrams([toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array([long])], names=["t"])]))
     assert total == len(long)
+    parts = ["ab", "", "c d"]
+    assert toxicity.CharacterModel({}).log.shape == model_of(parts).log.shape
 
 
 def labelled(spark):
@@ -145,6 +253,39 @@ def test_battery_equals_numpy(spark):
         assert r.t[0].random == (3 * min(p1, p2, p3) >= secrets.BATTERY), (r.token, p1, p2, p3)
 
 
+def test_tokens_that_touch_base_spans_are_left_out(spark):
+    """Candidates are the maximal tokens of 20 characters with a digit and a letter that no base span overlaps."""
+    rng = random.Random(9)
+    parts = ["password=", "AKIA" + "B2" * 10, "ab12" * 8, "Zq8vLr2XwT9mKp4Jd7Bn5Hs1", " ", "token: ", "x", "Qw3Er5Ty7Ui9Op1As2Df4Gh6==", "日", ".", "-", "/", "="]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for name, (pattern, group, least) in secrets.PATTERNS.items():
+        df = df.withColumn(f"_{name}", secrets.spans(secrets.matches(F.col("text"), pattern, group), least, 0))
+    for r in df.select("text", secrets.loose(F.col("text")).alias("found")).distinct().collect():
+        base = [(s, e) for _, s, e in brute_base(r.text)]
+        tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]+={0,2}", r.text)]
+        body = lambda t: t.rstrip("=")
+        tokens = [x for x in tokens if len(body(x[2])) >= 20 and re.search("[0-9]", x[2]) and re.search("[A-Za-z]", x[2])]
+        want = [f"{s}:{e}:{t}" for s, e, t in tokens if not any(b < e and s < f for b, f in base)]
+        assert r.found == want, r.text
+
+
+def test_many_matches_take_linear_time(spark):
+    n = 100_000
+    text = "secret=abcdef " * n + "Zq8vLr2XwT9mKp4Jd7Bn5Hs1Gy6Fc3Ve " * 1000
+    began = time.monotonic()
+    got = secrets.find_secrets(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_assign == n and got.spans.split(",")[n - 1] == f"assign:{14 * (n - 1)}:{14 * n - 1}" and got.n_random == 1000
+    assert time.monotonic() - began < 120
+
+
+def test_lower_case_keys_have_an_encoding(spark):
+    rng = np.random.default_rng(3)
+    texts = ["k " + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 48)) for _ in range(40)] + ["plain words only " * 20] * 40
+    got = {r.doc_id: r.n_random for r in secrets.find_secrets(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(40)) >= 32 and sum(got[i] for i in range(40, 80)) == 0
+
+
 def test_secrets_of_awkward_rows(spark):
     docs = documents(spark)
     assert secrets.find_secrets(spark, docs).count() == len(rows())
@@ -184,26 +325,60 @@ def test_rules_equal_brute_force(spark):
     assert {r.verdict for r in urls.judge(spark, df.where("page_id in (6, 7)")).collect()} == {"allow"}
 
 
+def plain_scores(allowed, blocked, tried):
+    """Scores by dictionaries of counts, and how many contexts with a character the allowed URLs hold."""
+
+    def steps(u):
+        full = ["^"] * urls.ORDER + [bytes([c]) for c in u.encode()] + [b"\n"]
+        for i in range(urls.ORDER, len(full)):
+            yield [(k, *full[i - k : i]) for k in range(urls.ORDER + 1)], full[i]
+
+    def model(sample):
+        seen, with_, after = Counter(), Counter(), defaultdict(set)
+        for u in sample:
+            for contexts, c in steps(u):
+                for x in contexts:
+                    seen[x] += 1
+                    with_[x, c] += 1
+                    after[x].add(c)
+        return seen, with_, after
+
+    models = model(allowed), model(blocked)
+    out = []
+    for u in tried:
+        logs = [0.0, 0.0]
+        for contexts, c in steps(u):
+            for m, (seen, with_, after) in enumerate(models):
+                p = 1 / 256
+                for x in contexts:
+                    if seen[x]:
+                        p = (with_[x, c] + len(after[x]) * p) / (seen[x] + len(after[x]))
+                logs[m] += math.log(p)
+        out.append((logs[1] - logs[0]) / (len(u.encode()) + 1))
+    return out, len(models[0][1])
+
+
+def own_scores(spark, allowed, blocked, tried):
+    counted = spark.createDataFrame([(u, False) for u in allowed] + [(u, True) for u in blocked], "url string, blocked boolean").repartition(3)
+    asked = spark.createDataFrame([(i % 3, u, i) for i, u in enumerate(tried)], "block long, url string, at long").repartition(2)
+    found = {r["at"]: r.score for r in urls.scored(spark, asked, counted).collect()}
+    return [found[i] for i in range(len(tried))]
+
+
 def test_model_tells_held_out_urls(spark):
     good = [f"https://site{i}.example.org/news/{i * 37 % 1000}" for i in range(300)]
     bad = [f"https://win-casino{i}.example.org/promo/{i * 91 % 1000}?aff={i}" for i in range(300)]
-    train = spark.createDataFrame([(u, False) for u in good[:200]] + [(u, True) for u in bad[:200]], "url string, blocked boolean").repartition(3)
-    allowed, blocked = urls.train(spark, train)
-    r = urls.ratios(good[200:] + bad[200:], allowed, blocked)
+    r = np.array(own_scores(spark, good[:200], bad[:200], good[200:] + bad[200:]))
     assert (r[:100] < r[100:].min()).mean() > 0.99
 
 
-def test_model_equals_dictionary_counts():
-    sample = ["ab", "abc", "b", "é"]
-    which, before, after = urls.contexts(sample)
-    assert np.bincount(which).tolist() == [len(u.encode()) + 1 for u in sample]
-    keys = defaultdict(set)
-    raw = [u.encode() + b"\n" for u in sample]
-    at = [(u, i) for u in raw for i in range(len(u))]
-    for n, (u, i) in enumerate(at):
-        for k in range(urls.ORDER + 1):
-            keys[k, bytes(max(0, k - i)) + u[max(0, i - k) : i]].add(int(before[k, n]))
-    assert all(len(v) == 1 for v in keys.values()) and len({next(iter(v)) for v in keys.values()}) == len(keys)
+def test_scores_equal_dictionary_counts(spark):
+    rng = random.Random(6)
+    some = lambda n: ["".join(rng.choice("ab/é.") for _ in range(rng.randint(0, 12))) for _ in range(n)]
+    allowed, blocked = some(40), some(30)
+    for a, b in ((allowed, blocked), (allowed, []), ([], [])):
+        tried = some(25) + a[:5] + ["", "日本\n", "z" * 3000]
+        assert np.allclose(own_scores(spark, a, b, tried), plain_scores(a, b, tried)[0])
 
 
 def test_url_counts_stay_exact_beyond_any_table_size(spark):
@@ -211,30 +386,33 @@ def test_url_counts_stay_exact_beyond_any_table_size(spark):
     rng = np.random.default_rng(4)
     alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
     sample = ["".join(x) for x in rng.choice(alphabet, (12_000, 40))]
-    allowed, _ = urls.train(spark, spark.createDataFrame([(u, False) for u in sample], "url string, blocked boolean").repartition(3))
-    seen, with_, after = Counter(), Counter(), defaultdict(set)
-    for u in sample:
-        full = ["^"] * urls.ORDER + [*u, "\n"]
-        for i in range(urls.ORDER, len(full)):
-            for k in range(urls.ORDER + 1):
-                c = k, *full[i - k : i]
-                seen[c] += 1
-                with_[c, full[i]] += 1
-                after[c].add(full[i])
-    assert len(with_) > 1 << 18
     tried = sample[:20] + ["".join(x) for x in rng.choice(alphabet, (20, 40))]
-    _, b, a = urls.contexts(tried)
-    want = []
-    for u in tried:
-        full = ["^"] * urls.ORDER + [*u, "\n"]
-        for i in range(urls.ORDER, len(full)):
-            p = 1 / 256
-            for k in range(urls.ORDER + 1):
-                c = k, *full[i - k : i]
-                if seen[c]:
-                    p = (with_[c, full[i]] + len(after[c]) * p) / (seen[c] + len(after[c]))
-            want.append(math.log(p))
-    assert np.allclose(allowed.log_probability(b, a), want)
+    want, contexts = plain_scores(sample, tried[30:], tried)
+    assert contexts > 1 << 18
+    assert np.allclose(own_scores(spark, sample, tried[30:], tried), want)
+
+
+def test_verdicts_without_a_rule_equal_a_plain_threshold(spark):
+    """Models from the URLs that a rule decides and that don't calibrate; the bar from those that do."""
+    data = [f"https://news{i % 50}.example.org/fr/{i}" for i in range(120)] + [f"https://casino-{i}.win.net/p?{i}" for i in range(120)]
+    data += [f"https://news{i}.site.com/fr/{i}" for i in range(30)] + [f"https://casino-{i}.win.com/p?{i}" for i in range(30)] + ["plain", None, "https://x.com/" + "y" * 20_000]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(data)], "page_id long, url string, score string").repartition(4)
+    fold = {r.url: r.fold for r in df.select("url", (F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(urls.FOLDS)) == 0).alias("fold")).collect()}
+    ruled = {u: brute_rule(*brute_parts(u)) for u in data}
+    side = lambda v, cal: [u for u in data if ruled[u][1] == v and fold[u] == cal]
+    want, _ = plain_scores(side("allow", False), side("block", False), [u or "" for u in data])
+    score = dict(zip(data, want, strict=True))
+    place = lambda u: min(urls.BINS, max(0, math.floor((score[u] + urls.REACH) / (2 * urls.REACH) * urls.BINS)))
+    good, bad = sorted(map(place, side("allow", True))), sorted(map(place, side("block", True)))
+    assert good and bad
+    losses = [sum(x > b for x in good) / len(good) + sum(x <= b for x in bad) / len(bad) for b in range(urls.BINS + 1)]
+    best = [b for b, x in enumerate(losses) if x <= min(losses) + 1e-12]
+    bar = (best[len(best) // 2] + 1) / urls.BINS * 2 * urls.REACH - urls.REACH
+    got = {r.page_id: r for r in urls.judge(spark, df).collect()}
+    for i, u in enumerate(data):
+        assert abs(got[i].score - score[u]) < 1e-9
+        assert got[i].verdict == (ruled[u][1] or ("block" if score[u] >= bar else "allow")), u
+    assert [got[i].verdict for i in (240, 270)] == ["allow", "block"]
 
 
 # Token counts
@@ -258,7 +436,10 @@ def brute_count(word, scores):
 def test_trie_counts_equal_word_by_word(words):
     scores = token_counts.zipf_scores(SMALL)
     counter = token_counts.TrieCounter(scores)
-    assert counter([" ".join(words), ""]) == [(len(words), sum(brute_count(w, scores) for w in words)), (0, 0)]
+    want = [[len(words), 0], [sum(brute_count(w, scores) for w in words), 0]]
+    assert [x.tolist() for x in counter(pa.array([" ".join(words), ""]))] == want
+    counter.MOST = 0
+    assert [x.tolist() for x in counter(pa.array([" ".join(words), " "]))] == want
 
 
 def test_token_counts_of_whole_texts(spark):
