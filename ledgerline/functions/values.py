@@ -13,18 +13,23 @@ UPPER, LOWER = 95.0, 55.0
 
 # Dates and amounts
 
+def stripped(s: Column) -> Column:
+    """s without white space of any kind at its ends, wide blanks and tabs included."""
+    return F.regexp_replace(s, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")
+
+
 def ledger_date(s: Column) -> Column:
     """Dates of statements; null where there is none or the calendar has no such day."""
-    t = F.trim(F.replace(F.translate(s, "年月-.", "////"), F.lit("日"), F.lit("")))
+    t = F.replace(F.translate(stripped(s), "年月-.", "////"), F.lit("日"), F.lit(""))
     parts = F.regexp_extract(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 0)
     return F.coalesce(F.try_to_date(F.nullif(parts, F.lit("")), "yyyy/M/d"), F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd")))
 
 
 def ledger_amount(s: Column) -> Column:
-    """Digits of either width; negative after - or ▲ at the start; 0 where there are none."""
-    t = F.trim(F.coalesce(s, F.lit("")))
+    """Digits of either width; negative after - or ▲ at the start; 0 where there are none or more than a long holds."""
+    t = stripped(F.coalesce(s, F.lit("")))
     digits = F.regexp_replace(F.translate(t, WIDE_DIGITS, DIGITS), "[^0-9]", "")
-    n = F.coalesce(F.try_to_number(F.nullif(digits, F.lit("")), F.lit("9" * 18)).cast("long"), F.lit(0).cast("long"))
+    n = F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
     return F.when(t.startswith("-") | t.startswith("▲"), -n).otherwise(n)
 
 
@@ -86,8 +91,18 @@ def reg_status(s: Column) -> Column:
     )
 
 
-def reg_why(status: Column) -> Column:
-    return label(status, {1: "no number is given", 2: "not T and 13 digits", 3: "the check digit is wrong", 4: "well-formed", 5: "in the public register", 6: "not in the register or revoked"})
+def reg_why(status: Column, number: Column | None = None) -> Column:
+    """The reason of a registration status; with the number as read, what its format lacks."""
+    texts = {
+        1: "no registration number could be read: there is none, or reading failed", 2: "not T and 13 digits", 3: "the check digit of a corporate number doesn't fit: misread, or the number of a sole proprietor",
+        4: "well-formed; whether it exists is for the public register to say", 5: "in the public register", 6: "not in the register or revoked",
+    }
+    out = label(status, texts)
+    if number is None:
+        return out
+    n = reg_no(number)
+    lacks = F.when(~n.startswith("T"), F.lit("a registration number begins with T")).otherwise(F.format_string("T is followed by 13 digits; %d were read", F.length(n) - 1))
+    return F.when(status == BAD_FORMAT, lacks).otherwise(out)
 
 
 def reg_lookup(found: Column, revoked: Column) -> Column:
@@ -129,12 +144,15 @@ def name_field(direction: Column) -> Column:
     return F.when(direction == 2, F.lit("recipient_name")).otherwise(F.lit("issuer_name"))
 
 
-def decide_why(decision: Column, score: Column, upper: Column, lower: Column) -> Column:
-    return (
-        F.when(decision == AUTO, F.format_string("score %.1f is at least %.0f", score, upper))
-        .when(decision == REVIEW, F.format_string("score %.1f lies between %.0f and %.0f", score, lower, upper))
-        .otherwise(F.format_string("score %.1f is below %.0f", score, lower))
+def decide_why(decision: Column, score: Column, upper: Column, lower: Column, named: Column | None = None) -> Column:
+    """The reason of a decision in words. named: whether the document has a readable name; without one a person has to look."""
+    out = (
+        F.when(score.isNull(), F.lit("no candidate was found"))
+        .when(decision == AUTO, F.format_string("score %.1f is at least %.1f", score, upper))
+        .when(decision == REVIEW, F.format_string("score %.1f lies between %.1f and %.1f", score, lower, upper))
+        .otherwise(F.format_string("score %.1f is below %.1f", score, lower))
     )
+    return out if named is None else F.when(~named, F.lit("no name could be read, so nothing was matched")).otherwise(out)
 
 
 # Settlement
@@ -160,12 +178,31 @@ def settle_score(name: Column, amount: Column, date: Column) -> Column:
     return F.lit(W_NAME) * name + F.lit(W_AMOUNT) * amount + F.lit(W_DATE) * date
 
 
-def settle_why(status: Column, score: Column, name: Column, amount: Column, date: Column, upper: Column, lower: Column) -> Column:
-    """The reason of a settlement in words; status 1 auto, 3 review, 4 none."""
+def settle_notes(total: Column, amount: Column, source: Column, issued: Column, paid: Column) -> Column:
+    """What is notable about a candidate: a fee kept back, an unreadable date, a payment before the document's date."""
+    diff, days = total - amount, F.datediff(paid, issued)
+    return F.concat_ws(
+        "; ", F.when(diff == 0, None).when((source == BANK) & (diff > 0) & (diff <= FEE), F.format_string("%d less may be the transfer fee", diff)).otherwise(F.lit("the amount differs")),
+        F.when(issued.isNull(), F.lit("the document's date is unreadable")).when((source != CARD) & days.between(-5, -1), F.lit("paid before the document's date, perhaps in advance")),
+    )
+
+
+def ambiguity_why(n_names: Column, names: Column) -> Column:
+    return F.format_string("the description is cut off and fits %d partners: %s", n_names, names)
+
+
+def settle_why(status: Column, score: Column, name: Column, amount: Column, date: Column, upper: Column, lower: Column, notes: Column | None = None, ambiguity: Column | None = None, forced: Column | None = None) -> Column:
+    """The reason of a settlement in words; status 1 auto, 3 review, 4 none. notes and ambiguity of the best candidate are
+    told where a person has to look, notes also where it is settled; forced: an ambiguity that no cap could hold."""
     parts = F.format_string("score %.1f (name %.0f, amount %.0f, date %.0f)", score, name, amount, date)
+    notes, ambiguity, forced = (F.lit(x) if x is None else x for x in (notes, ambiguity, forced))
+    blank = lambda c: F.nullif(c.cast("string"), F.lit(""))
     return (
-        F.when(score.isNull(), F.lit("no transaction in the range of amount and date")).when(status == 1, F.concat(parts, F.format_string(" is at least %.0f", upper)))
-        .when(status == 3, F.concat(parts, F.lit(" needs a person"))).otherwise(F.concat(parts, F.format_string(" is below %.0f", lower)))
+        F.when(score.isNull(), F.lit("no transaction in the range of amount and date: paid in cash, or its statement isn't imported yet"))
+        .when((status == 3) & F.coalesce(forced.cast("boolean"), F.lit(False)), F.concat_ws(". ", parts, blank(ambiguity)))
+        .when(status == 1, F.concat_ws(". ", F.concat(parts, F.format_string(" is at least %.0f", upper)), blank(notes)))
+        .when(status == 3, F.concat_ws(". ", F.concat(parts, F.lit(" needs a person")), blank(notes), blank(ambiguity)))
+        .otherwise(F.format_string("the best score %.1f is below %.0f: probably not its transaction", score, lower))
     )
 
 
@@ -191,6 +228,27 @@ def billing_in_grace(exempt: Column, status: Column, grace_until: Column, now: C
     return ~exempt & F.coalesce(status.isin("past_due", "unpaid") & (now < grace_until), F.lit(False))
 
 
+def billing_verdict(exempt: Column, status: Column, grace_until: Column, cancel_at_end: Column, period_end: Column, now: Column) -> Column:
+    """A struct: allowed, in_grace, grace_until (within a grace period), reason and next_step (empty where there is nothing to say)."""
+    allowed, grace = billing_allowed(exempt, status, grace_until, now), billing_in_grace(exempt, status, grace_until, now)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    late, running = status.isin("past_due", "unpaid"), status.isin("active", "trialing")
+    ends = running & F.coalesce(cancel_at_end, F.lit(False))
+    unfinished = status.isin("incomplete", "incomplete_expired")
+    reason = (
+        F.when(exempt, F.lit("exempt from billing")).when(status.isNull(), F.lit("no subscription")).when(ends, F.concat(F.lit("ends on "), day(period_end))).when(running, F.lit(""))
+        .when(grace, F.concat(F.lit("payment is missing; everything works until "), day(grace_until))).when(late, F.lit("payment is missing and the grace period is over"))
+        .when(status == "canceled", F.lit("the subscription has ended")).when(unfinished, F.lit("the application wasn't finished")).when(status == "paused", F.lit("the subscription is paused"))
+        .otherwise(F.concat(F.lit("unknown state of subscription: "), status))
+    )
+    step = (
+        F.when(exempt, F.lit("")).when(status.isNull(), F.lit("subscribe")).when(ends, F.lit("take back the cancellation to go on")).when(running, F.lit("")).when(late, F.lit("check the means of payment"))
+        .when(status == "canceled", F.lit("subscribe again to go on")).when(unfinished, F.lit("start the application again")).when(status == "paused", F.lit("resume the subscription"))
+        .otherwise(F.lit("nothing to do; the state is being looked into"))
+    )
+    return F.struct(allowed.alias("allowed"), grace.alias("in_grace"), F.when(grace, grace_until).alias("grace_until"), reason.alias("reason"), step.alias("next_step"))
+
+
 GRACE_DAYS = 14
 
 

@@ -50,6 +50,14 @@ def chain(rows: DataFrame, last_hash: str | None = None) -> DataFrame:
     return rows.join(ordered.mapInPandas(fold, "id long, prev_hash string, row_hash string"), "id").withColumn("hash_version", F.lit(2))
 
 
+def entries(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """rows of PAYLOAD columns with the ids that follow the log's, in order of target. As many as people's orders are, so
+    one task numbers them; chain() folds them one by one anyway."""
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
+    order = Window.orderBy("target_table", "target_id", "action")
+    return rows.select(*PAYLOAD).withColumn("id", F.lit(last) + F.row_number().over(order))
+
+
 def last_hash(log: DataFrame) -> DataFrame:
     return log.agg(F.max_by("row_hash", "id").alias("row_hash"))
 

@@ -18,9 +18,14 @@ def thresholds_for(subjects: DataFrame, thresholds: DataFrame, at) -> DataFrame:
     latest valid_from, then the larger id. Where none fits, the defaults stand and threshold_id is null.
     """
     t = thresholds.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
-    t = t.select(F.col("threshold_id"), F.col("organization_id"), *(F.col(c).alias(f"t_{c}") for c in ("client_id", "partner_id", "doc_type")), "upper", "lower", "valid_from")
-    fits = [F.col(f"t_{c}").isNull() | (F.col(f"t_{c}") == F.col(c)) for c in ("client_id", "partner_id", "doc_type")]
-    both = subjects.join(t, "organization_id").where(fits[0] & fits[1] & fits[2])
+    scope = ["client_id", "partner_id", "doc_type"]
+    t = t.select("threshold_id", "organization_id", *(F.col(c).alias(f"t_{c}") for c in scope), "upper", "lower", "valid_from")
+    # Each subject asks for the eight scopes that fit it, so a threshold meets only subjects of its scope.
+    options = [F.array(F.col(c), F.lit(None)) for c in scope]
+    asked = F.flatten(F.flatten(F.transform(options[0], lambda c: F.transform(options[1], lambda p: F.transform(options[2], lambda k: F.struct(c.alias("c"), p.alias("p"), k.alias("k")))))))
+    asked = subjects.select("subject_id", "organization_id", F.explode(F.array_distinct(asked)).alias("s")).select("subject_id", F.col("organization_id").alias("o"), "s.*")
+    same = (F.col("o") == F.col("organization_id")) & F.col("c").eqNullSafe(F.col("t_client_id")) & F.col("p").eqNullSafe(F.col("t_partner_id")) & F.col("k").eqNullSafe(F.col("t_doc_type"))
+    both = asked.join(t, same)
     special = F.struct(F.col("t_partner_id").isNotNull(), F.col("t_client_id").isNotNull(), F.col("t_doc_type").isNotNull(), F.col("valid_from"), F.col("threshold_id"))
     best = both.groupBy("subject_id").agg(F.max_by(F.struct("threshold_id", "upper", "lower"), special).alias("t"))
     out = subjects.join(best, "subject_id", "left")
@@ -46,9 +51,15 @@ def generations(history: DataFrame) -> DataFrame:
 
 
 def decisions(best: DataFrame, upper: float = UPPER, lower: float = LOWER) -> DataFrame:
-    """best (one row per document; score null without a candidate) with decision, and what is stored for it."""
+    """best (one row per document; score null without a candidate) with decision, and what is stored for it. Where best has
+    a column `named`, a document without a readable name goes to a person instead of being rejected. Where it has a
+    column threshold_id, an id that isn't positive (the defaults) is stored as null."""
     d = decide(F.col("score"), F.col("score").isNotNull(), F.lit(upper), F.lit(lower))
+    if "named" in best.columns:
+        d = F.when(~F.coalesce("named", F.lit(False)), F.lit(REVIEW)).otherwise(d)
     out = best.withColumn("decision", d)
+    if "threshold_id" in best.columns:
+        out = out.withColumn("threshold_id", F.when(F.col("threshold_id") > 0, F.col("threshold_id")))
     return out.withColumns({
         "code": decision_code(F.col("decision")), "partner_id": F.when(F.col("decision") != REJECT, F.col("partner_id")),
         "stored_score": F.when(F.col("score") > 0, F.col("score").cast("decimal(5,2)")),
@@ -86,12 +97,20 @@ def safest(swept: DataFrame) -> DataFrame:
     return swept.where("wrong = 0").agg(F.min("upper").alias("best_upper"))
 
 
+def upper_median(rows: DataFrame, by: str, score: str) -> DataFrame:
+    """(by, median): the upper median of each group. Rows are first counted by value, so the running sum that places the
+    middle sees each value once."""
+    counted = rows.where(F.col(score).isNotNull()).groupBy(by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
+    total = counted.groupBy(by).agg(F.sum("_n").alias("_all"))
+    placed = counted.withColumn("_to", F.sum("_n").over(Window.partitionBy(by).orderBy("_s"))).join(total, by)
+    return placed.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(by).agg(F.min("_s").alias("median"))
+
+
 def score_stats(judged: DataFrame) -> DataFrame:
     """n, least, upper median, mean and greatest score of correct and incorrect matches."""
-    order = Window.partitionBy("correct").orderBy("score")
-    placed = judged.select("correct", "score", F.row_number().over(order).alias("rn"), F.count("*").over(Window.partitionBy("correct")).alias("cnt"))
-    middle = F.max(F.when(F.col("rn") == F.floor(F.col("cnt") / 2) + 1, F.col("score")))
-    return placed.groupBy("correct").agg(F.count("*").alias("n"), F.min("score").alias("lo"), middle.alias("median"), F.avg("score").alias("mean"), F.max("score").alias("hi"))
+    s = F.col("score")
+    out = judged.groupBy("correct").agg(F.count("*").alias("n"), F.min(s).alias("lo"), F.avg(s).alias("mean"), F.max(s).alias("hi"))
+    return out.join(upper_median(judged, "correct", "score"), "correct", "left").select("correct", "n", "lo", "median", "mean", "hi")
 
 
 def overlap(judged: DataFrame) -> DataFrame:

@@ -34,6 +34,32 @@ def save_results(results: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(results, new.join(human, "document_id", "left_anti"), ["document_id"])
 
 
+def save_result(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables after documents were read and matched anew, to be written together.
+
+    new and tables hold fields, candidates, results and reg_checks; tables also documents. A document of new["results"]
+    loses its former fields and candidates and gets the new ones; its registration check is replaced, unless there is
+    none, but what the register said of it (looked_up_at and all after) stays; its status follows the result. Documents
+    that a person decided keep result, candidates and status.
+    """
+    done = new["results"].select("document_id")
+    human = tables["results"].where("decided_by IS NOT NULL").select("document_id")
+    free = done.join(human, "document_id", "left_anti")
+
+    def swap(name: str, mine: DataFrame) -> DataFrame:
+        old = tables[name].join(mine, "document_id", "left_anti")
+        return old.unionByName(new[name].join(mine, "document_id", "left_semi").select(*old.columns))
+
+    checks = tables["reg_checks"]
+    read = ["reg_no", "status", "why"]
+    fresh = new["reg_checks"].where("status > 0").join(done, "document_id", "left_semi").select("document_id", *(F.col(c).alias(f"_{c}") for c in read))
+    both = checks.join(fresh.withColumn("_new", F.lit(True)), "document_id", "full")
+    checks = both.select(*(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in read else F.col(c) for c in checks.columns))
+    status = new["results"].join(free, "document_id", "left_semi").select("document_id", document_status(F.col("decision"), F.lit(False)).alias("_status"))
+    documents = tables["documents"].join(status, "document_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+    return {"fields": swap("fields", done), "candidates": swap("candidates", free), "results": save_results(tables["results"], new["results"]), "reg_checks": checks, "documents": documents}
+
+
 def save_settlements(settlements: DataFrame, candidates: DataFrame, new: DataFrame, new_candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settlements, candidates): new rows replace old ones and their documents' candidates; a document confirmed by a
     person keeps both."""
@@ -98,6 +124,7 @@ def apply_subscription_event(event: dict[str, Column], old: dict[str, Column], n
 
 def confirm_settlements(settlements: DataFrame, orders: DataFrame) -> DataFrame:
     """settlements after a person confirmed a transaction (status 2) or cash (5): orders (document_id, status,
-    transaction_id, decided_by, decided_at). Candidates are kept apart and stay as they are."""
-    new = orders.select("document_id", F.when(F.col("status") == 2, F.col("transaction_id")).alias("transaction_id"), F.col("status").cast("int").alias("status"))
-    return upsert(settlements.select("document_id", "transaction_id", F.col("status").cast("int").alias("status")), new, ["document_id"])
+    transaction_id and, where settlements have them, decided_by, decided_at, why). Candidates are kept apart and stay."""
+    new = orders.select("document_id", F.when(F.col("status") == 2, F.col("transaction_id")).alias("transaction_id"), F.col("status").cast("int").alias("status"), *(c for c in orders.columns if c in settlements.columns and c not in ("document_id", "transaction_id", "status")))
+    old = settlements.withColumn("status", F.col("status").cast("int"))
+    return old.join(new.select("document_id"), "document_id", "left_anti").unionByName(new, allowMissingColumns=True)

@@ -59,7 +59,8 @@ def latest_subscription(organizations: DataFrame, subscriptions: DataFrame) -> D
     """Each organisation with its newest live subscription."""
     live = subscriptions.where(~F.col("status").isin("canceled", "incomplete_expired"))
     newest = latest(live, ["organization_id"], [F.col("subscription_id").desc()])
-    return organizations.join(newest.select("organization_id", "subscription_id", "status", "grace_until"), "organization_id", "left")
+    told = [c for c in ("subscription_id", "status", "grace_until", "cancel_at_period_end", "current_period_end") if c in newest.columns]
+    return organizations.join(newest.select("organization_id", *told), "organization_id", "left")
 
 
 def organization_of_customer(customers: DataFrame, organizations: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def siblings(documents: DataFrame) -> DataFrame:
 
 
 def learned_aliases(aliases: DataFrame, partners: DataFrame, top: int = 100) -> DataFrame:
-    """Aliases that corrections taught, newest first."""
+    """Aliases of these partners (an organisation's) that corrections taught, newest first."""
     return aliases.where("source = 2").join(partners.select("partner_id", F.col("name").alias("partner_name")), "partner_id").orderBy(F.col("alias_id").desc()).limit(top)
 
 
@@ -99,6 +100,21 @@ def current_thresholds(history: DataFrame) -> DataFrame:
     return history.where("valid_to IS NULL")
 
 
+def threshold_history(history: DataFrame, top: int = 50) -> DataFrame:
+    """The newest generations."""
+    return history.orderBy(F.col("valid_from").desc(), F.col("threshold_id").desc()).limit(top)
+
+
+def organization_of_key(keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (key_hash) to the organisation of a key that isn't revoked: keys (key_hash, organization_id, revoked_at)."""
+    return asked.join(keys.where("revoked_at IS NULL").select("key_hash", "organization_id"), "key_hash")
+
+
+def totals_under(rows: DataFrame, condition: Column) -> DataFrame:
+    """Of all rows and of those under a filter, how many there are, in one pass."""
+    return rows.agg(F.count("*").alias("total"), F.count_if(condition).alias("filtered"))
+
+
 def review_queue(results: DataFrame, candidates: DataFrame, decision: int = 5, top: int = 50) -> DataFrame:
     """Documents that wait for a person, the surest first, unscored last."""
     best = candidates.where("rank = 1").select("document_id", F.col("score").alias("best_score"))
@@ -106,8 +122,8 @@ def review_queue(results: DataFrame, candidates: DataFrame, decision: int = 5, t
 
 
 def impact(results: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Results with the score and the written form of their best candidate; rank 1 is picked before the join, so nothing fans out."""
-    best = candidates.where("rank = 1").select("document_id", F.col("score").alias("best_score"), F.col("score_detail.matched").alias("matched"))
+    """Results with the score and the written form of their best candidate (in its JSON detail); rank 1 is picked before the join, so nothing fans out."""
+    best = candidates.where("rank = 1").select("document_id", F.col("score").alias("best_score"), F.get_json_object("score_detail", "$.matched").alias("matched"))
     return results.join(best, "document_id", "left")
 
 

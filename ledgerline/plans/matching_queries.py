@@ -58,13 +58,15 @@ def ngram_explode(spark, d):
     return n.select("partner_id", F.explode(text.ngrams(F.col("norm"))).alias("gram")).groupBy("partner_id", "gram").agg(F.count("*").alias("n"))
 
 
-PAIRS = f"WITH p AS (SELECT partner_id, client_id, {norm('name')} AS norm FROM {{partners}}), pairs AS (SELECT a.partner_id AS a_id, b.partner_id AS b_id, a.norm AS a, b.norm AS b FROM p a JOIN p b ON a.client_id = b.client_id AND a.partner_id < b.partner_id AND b.partner_id - a.partner_id <= 100)"
+PAIRS = f"{BLOCKED}, pairs AS (SELECT b.query_id AS a_id, b.partner_id AS b_id, b.norm AS a, f.norm AS b FROM blocked b JOIN forms f ON b.client_id = f.client_id AND b.partner_id = f.partner_id AND f.is_canonical)"
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = model(spark, d, "partners").select("partner_id", "client_id", text.normalize(F.col("name")).alias("norm"))
-    a, b = p.select(F.col("partner_id").alias("a_id"), "client_id", F.col("norm").alias("a")), p.select(F.col("partner_id").alias("b_id"), "client_id", F.col("norm").alias("b"))
-    return a.join(b, "client_id").where("a_id < b_id AND b_id - a_id <= 100").select("a_id", "b_id", "a", "b")
+    """All candidates of all queries with the partner's own name."""
+    f = forms(spark, d)
+    own = f.where("is_canonical").select("client_id", F.col("partner_id").alias("b_id"), F.col("norm").alias("b"))
+    found = linkage.trigram_candidates(queries(spark, d), f).select("client_id", F.col("query_id").alias("a_id"), F.col("partner_id").alias("b_id"), F.col("norm").alias("a"))
+    return found.join(own, ["client_id", "b_id"]).select("a_id", "b_id", "a", "b")
 
 
 @query(f"{PAIRS} SELECT a_id, b_id, round({lev('a', 'b')}, 6) AS sim FROM pairs")
@@ -187,7 +189,7 @@ def weight_sweep(spark, d):
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
     docs, clients = model(spark, d, "docs"), model(spark, d, "clients")
-    return docs.join(F.broadcast(clients.select("client_id", "organization_id")), "client_id").select(F.col("document_id").alias("subject_id"), "organization_id", "client_id", "partner_id", "doc_type")
+    return docs.join(clients.select("client_id", "organization_id"), "client_id").select(F.col("document_id").alias("subject_id"), "organization_id", "client_id", "partner_id", "doc_type")
 
 
 @query("""SELECT subject_id, threshold_id, coalesce(upper, 95) AS upper, coalesce(lower, 55) AS lower FROM (
@@ -254,9 +256,9 @@ def ocr_variant_hits(spark, d):
 
 
 @query("""SELECT field_key, count(*) AS n, count(*) FILTER (value = tv) AS exact, count(*) FILTER (regexp_replace(value, '[^0-9]', '', 'g') = regexp_replace(tv, '[^0-9]', '', 'g')) AS same_digits, count(*) FILTER (value IS NULL) AS missing FROM (
-  SELECT field_key, value AS tv, CASE WHEN document_id % 11 = 0 THEN NULL WHEN document_id % 7 = 0 THEN value || '-' WHEN document_id % 5 = 0 THEN value || '9' ELSE value END AS value FROM {fields} WHERE id % 10 < 4) GROUP BY field_key""")
+  SELECT field_key, value AS tv, CASE WHEN document_id % 11 = 0 THEN NULL WHEN document_id % 7 = 0 THEN value || '-' WHEN document_id % 5 = 0 THEN value || '9' ELSE value END AS value FROM {fields} QUALIFY row_number() OVER (PARTITION BY document_id, field_key ORDER BY id) = 1) GROUP BY field_key""")
 def field_accuracy(spark, d):
-    truth = model(spark, d, "fields").where("id % 10 < 4").select("document_id", "field_key", "value")
+    truth = evaluate.first_values(model(spark, d, "fields"))
     k = F.col("document_id")
     read = truth.where(k % 11 != 0).withColumn("value", F.when(k % 7 == 0, F.concat("value", F.lit("-"))).when(k % 5 == 0, F.concat("value", F.lit("9"))).otherwise(F.col("value")))
     return evaluate.field_accuracy(read, truth)

@@ -23,4 +23,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import functions_queries, matching_queries, reading_queries, settling_queries, stream_queries  # noqa: E402, F401
+from . import functions_queries, matching_queries, reading_queries, settling_queries, source_queries, stream_queries, writing_queries  # noqa: E402, F401

@@ -30,7 +30,7 @@ def trigrams(x: str) -> str:
 
 
 #: DuckDB's levenshtein counts bytes, so characters of the model's names get one byte each first.
-_CHARS = "".join(dict.fromkeys("".join([*HEADS, *TAILS]) + "サービスコウボウヤマトA株式会社有限(),ｶ"))
+_CHARS = "".join(dict.fromkeys("".join([*HEADS, *TAILS]) + "カビンウツワミナトA株式会社有限(),ｶ"))
 _WIDE_CHARS = "".join(c for c in _CHARS if ord(c) > 127)
 _BYTES = "!#$%&*+,-./:;<=>?@^_`|~abcdefghijklmnopqrstuvwxyzBCDEFGHIJKLMNOPQRSTUVWXYZ"
 

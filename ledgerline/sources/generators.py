@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 
-HEADS = ["ヤマト", "サクラ", "ハルタ", "シラカワ", "コウヨウ", "ナンセイ", "ミライ"]
-TAILS = ["商事", "工業", "物産", "運輸", "産業", "商会", "サービス", "建設", "印刷", "石油", "工房", "電機"]
+#: Invented names: a head, a tail and sometimes a number.
+HEADS = ["ミナト", "アオイ", "カモメ", "ツキノ", "イサミ", "ホトリ", "ソラノ", "ユキワ"]
+TAILS = ["製菓", "織物", "カビン", "漆器", "倉庫", "園芸", "測量", "造船", "書房", "香料", "染色", "ガラス"]
 TRUNCATIONS = [8, 12, 16, 20, 24, 0]
-SEED = 20260810
+SEED = 7001
 
 
 def pick(values: list[str], n: Column) -> Column:
@@ -46,7 +47,7 @@ PRESETS = {
     "normal": {"angle": 2.5, "noise": 9, "jpeg": 72, "shadow": 0.14, "bleed": 0.07, "fold": 0.6, "fade": 0.30, "blur": 0.6},
     "heavy": {"angle": 4.0, "noise": 16, "jpeg": 55, "shadow": 0.24, "bleed": 0.13, "fold": 0.9, "fade": 0.50, "blur": 1.0},
 }
-ITEMS = ["部品", "工具", "用紙", "送料", "保守"]
+ITEMS = ["封筒", "塗料", "木箱", "毛糸", "砂糖"]
 
 
 def forms(partners: DataFrame, n: int, seed: int = SEED) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import any_of
-from ..functions.values import BANK, CARD, ledger_amount, ledger_amount_unsigned, ledger_date
+from ..functions.values import BANK, CARD, ledger_amount, ledger_amount_unsigned, ledger_date, stripped
 
 # Header words of bank and card statements.
 BANK_HEADERS = {"date": ["日付", "取引日", "年月日"], "description": ["摘要", "内容", "取引内容", "備考"], "out": ["出金", "支払", "引出", "お支払"], "in": ["入金", "預入", "お預入"]}
@@ -33,17 +35,32 @@ def decode_bytes(raw: bytes) -> str:
         return raw.decode("cp932", "replace")
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
+#: Cells that are quoted as a whole.
+QUOTED = re.compile(r'(?:(?<=[,\r\n])|\A)"(?:[^"]|"")*"(?=[,\r\n]|\Z)')
+
 
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(1 << 31)
     for b in batches:
         for path, raw in zip(b["path"], b["content"], strict=True):
-            rows = [(path, hashlib.sha256(raw).hexdigest(), i, cells, None) for i, cells in enumerate(csv.reader(io.StringIO(decode_bytes(bytes(raw)))))]
+            digest = hashlib.sha256(raw).hexdigest()
+            rows = []
+            try:
+                text = decode_bytes(bytes(raw))
+                if '"' in QUOTED.sub("", text):
+                    raise csv.Error("a quote within a cell, or one that isn't closed")
+                for i, cells in enumerate(csv.reader(io.StringIO(text, newline=""))):
+                    rows.append((path, digest, i, cells, None))
+                if not rows:
+                    rows = [(path, digest, 0, [], "empty file")]
+            except csv.Error as e:
+                rows = [(path, digest, 0, [], f"not readable as CSV: {e}")]
             yield pd.DataFrame(rows, columns=["path", "file_sha256", "line_no", "cells", "error"])
 
 
 def csv_lines(files: DataFrame) -> DataFrame:
-    """Whole files (path, content) to numbered lines of cells; lines may have any number of them, quotes may hold breaks."""
+    """Whole files (path, content) to numbered lines of cells; lines may have any number of them, quotes may hold breaks.
+    A file that is empty or no CSV is one line without cells that tells the error."""
     return files.select("path", "content").mapInPandas(_parse, LINES)
 
 
@@ -77,13 +94,13 @@ def card_rows(lines: DataFrame) -> DataFrame:
 def _typed(rows: DataFrame, source: int) -> DataFrame:
     date = ledger_date(F.col("cell_date"))
     error = F.when(date.isNull(), F.format_string("line %d: no date in '%s'", F.col("line_no") + 1, F.col("cell_date")))
-    return rows.select("path", "file_sha256", F.col("path").alias("file_id"), "line_no", F.lit(source).alias("source_type"), date.alias("transaction_date"), "amount", "direction", F.trim("cell_description").alias("description"), F.col("cells").alias("raw_data"), error.alias("error"))
+    return rows.select("path", "file_sha256", F.col("path").alias("file_id"), "line_no", F.lit(source).alias("source_type"), date.alias("transaction_date"), "amount", "direction", stripped(F.col("cell_description")).alias("description"), F.col("cells").alias("raw_data"), error.alias("error"))
 
 
 def check_files(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """(path, error) of files to reject as a whole: the first bad line, or no usable row at all."""
+    """(path, error) of files to reject as a whole: not readable, the first bad line, or no usable row at all."""
     bad = rows.where("error IS NOT NULL").groupBy("path").agg(F.min_by("error", "line_no").alias("error"))
-    empty = lines.select("path").distinct().join(rows.select("path").distinct(), "path", "left_anti").withColumn("error", F.lit("no usable row"))
+    empty = lines.groupBy("path").agg(F.coalesce(F.max("error"), F.lit("no usable row")).alias("error")).join(rows.select("path").distinct(), "path", "left_anti")
     return bad.unionByName(empty)
 
 
@@ -96,9 +113,13 @@ def read_statements(spark: SparkSession, path: str, kind: str) -> tuple[DataFram
 
 
 def read_masters(spark: SparkSession, path: str) -> DataFrame:
-    """Partners of a JSON array; one without an id gets its place in the file."""
-    raw = spark.read.schema(MASTERS).option("multiLine", True).json(path)
-    return raw.withColumn("id", F.coalesce("id", F.monotonically_increasing_id() + 1))
+    """Partners of a JSON array; one without an id gets its place in the file, from 1."""
+    return parse_masters(spark.read.option("wholetext", True).text(path))
+
+
+def parse_masters(files: DataFrame) -> DataFrame:
+    each = files.select(F.posexplode(F.from_json("value", T.ArrayType(MASTERS))).alias("place", "m"))
+    return each.select(F.coalesce("m.id", F.col("place") + 1).cast("long").alias("id"), "m.core", "m.canonical", "m.variants")
 
 
 def master_aliases(masters: DataFrame) -> DataFrame:
@@ -132,13 +153,16 @@ def vision_blocks(responses: DataFrame) -> DataFrame:
     return each.select("document_id", "seq", text.alias("text"), F.coalesce("w.confidence", F.lit(0.0)).alias("confidence"), F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
 
 
+def document_kind(path: Column, content: Column) -> Column:
+    """A PDF needs both its extension and its first bytes; images go by extension."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    pdf = name.endswith(".pdf") & (F.substring(content, 1, 4) == F.lit(b"%PDF"))
+    return F.when(pdf, "pdf").when(name.endswith(".pdf"), "invalid").when(name.rlike(r"\.(png|jpe?g)$"), "image").otherwise("other")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files with what they are: a PDF needs both its extension and its first bytes; images go by extension."""
     files = spark.read.format("binaryFile").load(path)
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    pdf = name.endswith(".pdf") & (F.substring("content", 1, 4) == F.lit(b"%PDF"))
-    kind = F.when(pdf, "pdf").when(name.endswith(".pdf"), "invalid").when(name.rlike(r"\.(png|jpe?g)$"), "image").otherwise("other")
-    return files.select("path", kind.alias("kind"), "length", F.sha2("content", 256).alias("file_sha256"), "content")
+    return files.select("path", document_kind(F.col("path"), F.col("content")).alias("kind"), "length", F.sha2("content", 256).alias("file_sha256"), "content")
 
 
 REGISTRY_BATCH = 10
@@ -152,6 +176,36 @@ def lookup_batches(numbers: DataFrame) -> DataFrame:
     return numbers.select("client_id", "reg_no").distinct().withColumn("batch", F.floor((F.row_number().over(order) - 1) / REGISTRY_BATCH))
 
 
+def lookup_answers(batches: DataFrame, answers: DataFrame) -> DataFrame:
+    """What a lookup of batches (client_id, reg_no, batch) gave: answers (client_id, batch, status: of the service, body:
+    its JSON). A batch that failed or has no answer leaves its numbers unanswered and spoils no other; a number that a
+    good answer doesn't name is not registered. client_id, reg_no, answered, found, name, address, revoked_on."""
+    entry = "struct<registratedNumber:string,name:string,address:string,disposalDate:string>"
+    told = answers.select("client_id", "batch", "status", F.from_json("body", f"struct<announcement:array<{entry}>>").alias("b"))
+    good = (F.col("status") == 200) & F.col("b").isNotNull() & F.col("b.announcement").isNotNull()
+    ok = told.where(good).select("client_id", "batch", "b.announcement")
+    # At most ten entries for each batch.
+    both = batches.join(ok, ["client_id", "batch"], "left")
+    hit = F.get(F.filter("announcement", lambda e: F.concat(F.lit("T"), e.registratedNumber) == F.col("reg_no")), F.lit(0))
+    out = both.select("client_id", "reg_no", F.col("announcement").isNotNull().alias("answered"), hit.alias("e"))
+    return out.select("client_id", "reg_no", "answered", F.when(F.col("answered"), F.col("e").isNotNull()).alias("found"), F.col("e.name").alias("name"), F.col("e.address").alias("address"), F.nullif("e.disposalDate", F.lit("")).alias("revoked_on"))
+
+
+def signature(secret: str, parts: list[Column], body: Column) -> Column:
+    """HMAC-SHA256 in hex of the parts and the body's SHA-256 in hex, one to a line."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ x for k in key)) for x in (0x36, 0x5C))
+    message = F.concat_ws("\n", *(p.cast("string") for p in parts), F.sha2(body.cast("binary"), 256))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def signed(requests: DataFrame, secret: str, version: str = "v1") -> DataFrame:
+    """requests (method, path, query, sent_at in seconds, organization_id, body, signature as version=hex) whose signature is right."""
+    parts = [F.lit(version), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("method", "path", "query", "sent_at", "organization_id"))]
+    return requests.where(F.lower("signature") == F.concat(F.lit(f"{version}="), signature(secret, parts, F.coalesce(F.col("body").cast("binary"), F.lit(b"")))))
+
+
 EVENT = T.StructType([
     T.StructField("event_id", T.StringType()), T.StructField("type", T.StringType()), T.StructField("subscription_id", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("payment_failed", T.BooleanType()), T.StructField("payment_succeeded", T.BooleanType()), T.StructField("received_at", T.TimestampType()),
