@@ -131,10 +131,10 @@ class Engine:
         self.append("transactions", new.select(*old.columns))
         return counts, bad
 
-    def settle(self, at: Column, client_id: int | None = None, upper: float = UPPER, lower: float = LOWER) -> DataFrame:
-        """Settles what no person has settled, of one client or of all; saves the rows that changed with their candidates,
+    def settle(self, at: Column, clients: DataFrame | None = None, upper: float = UPPER, lower: float = LOWER) -> DataFrame:
+        """Settles what no person has settled, of some clients (rows of client_id) or of all; saves the rows that changed with their candidates,
         reasons and audit rows, and new reasons of rows that didn't change; returns the changed rows."""
-        only = lambda df: df if client_id is None else df.where(F.col("client_id") == client_id)
+        only = lambda df: df if clients is None else df.join(clients.select("client_id"), "client_id", "left_semi")
         docs = staged(settlement.targets(only(self.table("documents")), self.table("fields"), self.table("settlements")), "targets")
         partners, aliases = only(self.table("partners")), self.table("aliases")
         own = docs.select("document_id", F.col("issuer_name").alias("form"))

@@ -9,6 +9,7 @@ from ..operators import extract
 from ..sources import generators, images, readers
 from .model import model
 from .registry import query
+from .sqltext import lit
 
 DIGITS13 = "lpad(CAST(p_partkey * 98765432101 % 9999999999999 AS STRING), 13, '0')"
 RAW_REG = f"CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN '登録番号 T' || {DIGITS13} WHEN 1 THEN 'ｔ' || {DIGITS13} WHEN 2 THEN {DIGITS13} WHEN 3 THEN 'T' || substr({DIGITS13}, 1, 12) ELSE '' END"
@@ -62,10 +63,19 @@ def parse_amounts(spark, d):
     return raw.select("o_orderkey", values.recognised_amount(F.col("s")).alias("recognised"), values.ledger_amount(F.col("s")).alias("ledger"))
 
 
-@query("SELECT document_id, CASE decision WHEN 1 THEN 'auto' WHEN 2 THEN 'approved' WHEN 3 THEN 'corrected' WHEN 4 THEN 'rejected' ELSE 'review' END AS label, CASE decision WHEN 1 THEN 'auto_approve' WHEN 2 THEN 'approve' WHEN 3 THEN 'correct' WHEN 4 THEN 'reject' ELSE 'needs_review' END AS action FROM {results}")
+ACTIONS = {1: "auto_approve", 2: "approve", 3: "correct", 4: "reject", 5: "needs_review"}
+
+
+def _case(code: str, names: dict[int, str]) -> str:
+    return f"CASE {code} {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in names.items())} END"
+
+
+@query(f"SELECT document_id, {', '.join(f'{_case('document_id % 10', names)} AS {kind}' for kind, names in values.LABELS.items())}, {_case('decision', ACTIONS)} AS action FROM {{results}}")
 def label_maps(spark, d):
+    """All maps, over every code from 0 to 9."""
     r = model(spark, d, "results")
-    return r.select("document_id", values.label(F.col("decision"), values.LABELS["decision"]).alias("label"), values.decision_action(F.col("decision")).alias("action"))
+    code = F.col("document_id") % 10
+    return r.select("document_id", *(values.label(code, names).alias(kind) for kind, names in values.LABELS.items()), values.decision_action(F.col("decision")).alias("action"))
 
 
 @query("SELECT partner_id, CASE CAST(partner_id % 5 AS INT) WHEN 4 THEN 'yugen' ELSE 'kabushiki' END AS kind FROM {partners}")
@@ -98,15 +108,25 @@ def percents(spark, d):
     return model(spark, d, "events").select("event_id", values.percent(F.col("event_id") % 7, F.col("user_id") % 5).alias("percent"))
 
 
-LEXICAL = "SELECT document_id, head || CASE CAST(document_id % 8 AS INT) WHEN 0 THEN '株式会社' WHEN 1 THEN '経理部' WHEN 2 THEN ' ＴＥＬ 03' WHEN 3 THEN '市' WHEN 4 THEN '合計' ELSE '' END AS s, CASE CAST(document_id % 3 AS INT) WHEN 0 THEN '¥1,000-' WHEN 1 THEN 'INV-0' || CAST(document_id AS STRING) ELSE 'x 1' END AS v FROM (SELECT partner_id AS document_id, head FROM {cores})"
+WORDS = {"corporate": text.CORPORATE, "title": text.TITLES, "contact": text.CONTACTS, "address": text.ADDRESSES, "label": text.LABELS}
+VALUES = ["¥1,000-", "１２：３０", "2026年7月1日", "(1)/2", "INV-0", "ab_12", "A-1", "x 1", "合 1"]
+KIND = "[" + ", ".join(lit(w) for ws in WORDS.values() for w in ws) + ", '']"
 
 
-@query("SELECT partner_id AS document_id, partner_id % 8 = 0 AS corporate, partner_id % 8 = 1 AS title, partner_id % 8 = 2 AS contact, partner_id % 8 = 3 AS address, partner_id % 8 = 4 AS label, partner_id % 3 = 0 AS numeric, partner_id % 3 = 1 AS doc_no FROM {cores}")
+def _has(s: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({s}, {lit(w)})" for w in words) + ")"
+
+
+@query(f"""WITH r AS (SELECT partner_id AS document_id, head || list_extract({KIND}, CAST(1 + partner_id % {1 + sum(map(len, WORDS.values()))} AS INT)) || tail AS s, list_extract([{', '.join(map(lit, VALUES))}], CAST(1 + partner_id % {len(VALUES)} AS INT)) AS v FROM {{{{cores}}}})
+SELECT document_id, {_has("s", text.CORPORATE)} AS corporate, NOT {_has("s", text.CORPORATE)} AND {_has("s", text.TITLES)} AS title, {_has("s", text.CONTACTS)} AS contact, {_has("s", text.ADDRESSES)} AS address, {_has("s", text.LABELS)} AS label,
+  v IN ('¥1,000-', '１２：３０', '2026年7月1日', '(1)/2') AS numeric, v IN ('INV-0', 'ab_12') AS doc_no FROM r""".replace("{{cores}}", "{cores}"))
 def lexical_predicates(spark, d):
-    r = spark.sql(LEXICAL, cores=model(spark, d, "cores"))
-    s, v = F.col("s"), F.col("v")
+    """Every word of each kind within a name, and values that are numbers, document numbers or neither."""
+    k = F.col("partner_id")
+    of = lambda items: F.element_at(F.array(*map(F.lit, items)), (k % len(items) + 1).cast("int"))
+    s, v = F.concat("head", of([*(w for ws in WORDS.values() for w in ws), ""]), "tail"), of(VALUES)
     tests = {"corporate": text.has_corporate(s), "title": text.looks_like_title(s), "contact": text.looks_like_contact(s), "address": text.looks_like_address(s), "label": text.looks_like_label(s), "numeric": text.looks_numeric(v), "doc_no": text.looks_like_doc_no(v)}
-    return r.select("document_id", *(c.alias(n) for n, c in tests.items()))
+    return model(spark, d, "cores").select(k.alias("document_id"), *(c.alias(n) for n, c in tests.items()))
 
 
 VISION_ROW = """'{{"responses":[{{"fullTextAnnotation":{{"pages":[{{"blocks":[{{"paragraphs":[{{"words":[{{"confidence":0.5,"boundingBox":{{"vertices":[{{"x":' || CAST(k % 50 AS STRING) || ',"y":7}},{{"x":90,"y":30}}]}},"symbols":[{{"text":"' || a || '"}},{{"text":"Z"}}]}},{{"confidence":0.25,"boundingBox":{{"vertices":[{{"y":5}},{{"x":4,"y":9}}]}},"symbols":[{{"text":"q"}}]}}]}}]}}]}}]}}}}]}}'"""
@@ -118,18 +138,25 @@ def vision_flatten(spark, d):
     return readers.vision_blocks(body).select("document_id", "seq", "text", "x", "y", "w", "h")
 
 
-@query()
+@query("""WITH d AS (SELECT d.document_id AS k, d.client_id, d.total, d.issue_date, p.name FROM {docs} d JOIN {partners} p USING (partner_id))
+SELECT k AS document_id, unnest(['issuer_name', 'recipient_name', 'partner_name', 'reg_no', 'issue_date', 'total', 'doc_no']) AS field_key,
+  unnest([name, '青葉会' || CAST(client_id AS VARCHAR), '青葉会' || CAST(client_id AS VARCHAR), CASE WHEN k % 3 <> 1 THEN 'T9234567890' || CAST(100 + k % 900 AS VARCHAR) END, strftime(issue_date, '%Y-%m-%d'), CAST(total AS VARCHAR), 'INV-' || CAST(k AS VARCHAR)]) AS value
+FROM d""".replace("FROM d", "FROM d) WHERE value IS NOT NULL").replace("SELECT k AS", "SELECT * FROM (SELECT k AS"))
 def extract_fields(spark, d):
-    """Blocks from the lines of texts: one document in five; each page has a title, names, contacts, a date and a total."""
+    """A page of each document, in three layouts: with a registration number or without, three notations of dates, totals in
+    two notations beside a subtotal, corporate forms before and after names."""
     docs, cores = model(spark, d, "docs"), model(spark, d, "partners")
-    named = docs.join(F.broadcast(cores.select("partner_id", "name")), "partner_id")
+    named, k = docs.join(cores.select("partner_id", "name"), "partner_id"), F.col("document_id")
     block = lambda seq, s, x, y, w=120, h=20: F.struct(F.lit(seq).alias("seq"), s.alias("text"), F.lit(0.9).alias("confidence"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+    date = F.when(k % 3 == 0, F.date_format("issue_date", "yyyy年M月d日")).when(k % 3 == 1, F.date_format("issue_date", "yyyy/MM/dd")).otherwise(F.date_format("issue_date", "yyyy.M.d"))
+    total = F.when(k % 3 == 1, F.concat(F.col("total").cast("string"), F.lit("円"))).otherwise(F.concat(F.lit("¥"), F.col("total").cast("string"), F.lit("-")))
+    reg = F.when(k % 3 == 1, " ").otherwise(F.concat(F.lit("登録番号 T9234567890"), (k % 900 + 100).cast("string")))
     page = F.array(
-        block(0, F.lit("請求書"), 300, 10), block(1, F.concat(F.lit("テスト商事"), F.col("client_id").cast("string")), 20, 60), block(2, F.lit("御中"), 150, 60, 40), block(3, F.col("name"), 500, 60, 150), block(4, F.lit("TEL 03-0000-0000"), 500, 90, 150),
-        block(5, F.lit("登録番号 T9234567890123"), 500, 120, 150), block(6, F.date_format("issue_date", "yyyy年M月d日"), 20, 100), block(7, F.lit("合計"), 20, 500, 40), block(8, F.concat(F.lit("¥"), F.col("total").cast("string"), F.lit("-")), 200, 500), block(9, F.lit("No. INV-0001"), 300, 100),
+        block(0, F.lit("請求書"), 300, 10), block(1, F.concat(F.lit("青葉会"), F.col("client_id").cast("string")), 20, 60), block(2, F.lit("御中"), 150, 60, 40), block(3, F.col("name"), 500, 60, 150), block(4, F.lit("TEL 03-0000-0000"), 500, 90, 150),
+        block(5, reg, 500, 120, 150), block(6, date, 20, 100), block(7, F.lit("小計"), 20, 460, 40), block(8, F.lit("¥1,234"), 200, 460), block(9, F.lit("合計"), 20, 500, 40), block(10, total, 200, 500), block(11, F.concat(F.lit("No. INV-"), k.cast("string")), 300, 100),
     )
     blocks = named.select("document_id", F.explode(page).alias("b")).select("document_id", "b.*")
-    return extract.extract_fields(blocks).select("document_id", "field_key", "value", F.round("confidence", 6).alias("confidence"))
+    return extract.extract_fields(blocks).select("document_id", "field_key", "value")
 
 
 @query()
@@ -137,7 +164,7 @@ def generate_descriptions(spark, d):
     return generators.descriptions(generators.masters(spark, model(spark, d, "part").count()))
 
 
-@query()
+@query("SELECT page_id, CAST(i AS INTEGER) AS region, CAST(300 * i // n AS INTEGER) AS x, CAST(300 // n AS INTEGER) AS w FROM (SELECT page_id, page_id % 3 + 1 AS n FROM {pages}), (SELECT unnest([0, 1, 2]) AS i) WHERE i < n")
 def split_pages(spark, d):
     """Pages drawn from keys, each with one to three columns of ink, to the regions found on them."""
     import pandas as pd

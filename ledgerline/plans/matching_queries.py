@@ -264,8 +264,19 @@ def field_accuracy(spark, d):
     return evaluate.field_accuracy(read, truth)
 
 
-@query()
+def _drawn(seed: int, *cols: str) -> str:
+    return f"CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)})), 1, 15)) AS BIGINT)"
+
+
+_CUT = f"CASE WHEN {_drawn(3, 'partner_id', 'form')} % 1000 < 500 AND length(form) > 2 THEN substr(form, 1, CAST(1 + {_drawn(2, 'form')} % (length(form) - 1) AS INT)) || substr(form, CAST(3 + {_drawn(2, 'form')} % (length(form) - 1) AS INT)) ELSE form END"
+_BENCH = f"""{FORMS[: FORMS.index(", q AS (")]}, picked AS (SELECT *, {_drawn(1, "partner_id", "form")} AS query_id FROM forms ORDER BY query_id, partner_id, form LIMIT 500),
+q AS (SELECT client_id, query_id, truth_id, norm, {trigrams("norm")} AS trgm, {grams("norm")} AS grams FROM (SELECT *, {norm("text")} AS norm FROM (SELECT client_id, query_id, partner_id AS truth_id, {_CUT} AS text FROM picked)))"""
+
+
+@query(f"""{SCORED.replace(FORMS, _BENCH)}, hit AS (SELECT q.query_id, min(r.rank) AS hit_rank FROM q LEFT JOIN ranked r ON q.query_id = r.query_id AND r.partner_id = q.truth_id GROUP BY q.query_id)
+SELECT count(*) AS n, count(*) FILTER (hit_rank = 1) AS top1, count(*) FILTER (hit_rank <= 5) AS top5, count(*) FILTER (hit_rank IS NULL) AS missed FROM hit""")
 def bench_mode(spark, d):
+    """500 written forms as queries, half of them with a character left out."""
     f = forms(spark, d)
-    q = evaluate.bench_queries(f, 500).withColumn("norm", text.normalize(F.col("text")))
+    q = staged(evaluate.bench_queries(f, 500, noise=0.5).withColumn("norm", text.normalize(F.col("text"))), "queries")
     return evaluate.match_accuracy(linkage.match(q, f), q.select("query_id", "partner_id"))

@@ -28,7 +28,7 @@ MODEL = {
     "cores": f"SELECT CAST(p_partkey AS BIGINT) AS partner_id, {_case('p_partkey % 7', HEADS)} AS head, {_case('p_partkey % 7', HALVES)} AS half, {_case('floor(p_partkey / 7.0) % 12', TAILS)} AS tail, CASE WHEN p_partkey >= 84 THEN CAST(CAST(floor(p_partkey / 84.0) AS BIGINT) AS STRING) ELSE '' END AS num FROM {{part}}",
     "partners": "SELECT partner_id, partner_id % 25 + 1 AS client_id, head || tail || num AS core, CASE CAST(partner_id % 5 AS INT) WHEN 0 THEN '株式会社' || head || tail || num WHEN 1 THEN head || tail || num || '株式会社' WHEN 2 THEN '(株)' || head || tail || num WHEN 3 THEN head || '・' || tail || num || '㈱' ELSE '有限会社 ' || head || tail || num END AS name FROM {cores}",
     "aliases": "SELECT partner_id AS alias_id, partner_id, CASE WHEN partner_id % 4 = 0 THEN '（株）' || half || tail || num ELSE head || tail END AS alias, CAST(partner_id % 3 AS INT) AS source FROM {cores} WHERE partner_id % 2 = 0",
-    "queries": "SELECT c.query_id, p.client_id, p.partner_id AS truth_id, CASE WHEN c.query_id % 4 = 0 THEN p.name ELSE substr(p.core, 1, CAST(1 + c.query_id % 3 AS INT)) || substr(p.core, CAST(3 + c.query_id % 3 AS INT)) END AS text FROM (SELECT c_custkey AS query_id, c_custkey * 7919 % n + 1 AS pid FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {part}) parts) c JOIN {partners} p ON p.partner_id = c.pid",
+    "queries": "SELECT c.query_id, p.client_id, p.partner_id AS truth_id, CASE WHEN c.query_id % 4 = 0 THEN p.name ELSE substr(p.core, 1, CAST(1 + c.query_id % 3 AS INT)) || substr(p.core, CAST(3 + c.query_id % 3 AS INT)) END AS text FROM (SELECT c_custkey AS query_id, c_custkey * 7919 % n AS pid FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {part}) parts) c JOIN {partners} p ON p.partner_id = c.pid",
     "docs": "SELECT CAST(o_orderkey AS BIGINT) AS document_id, o_custkey % 25 + 1 AS client_id, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS direction, CAST(o_orderkey % 3 + 1 AS INT) AS doc_type, 'scan_' || CAST(CAST(floor(o_orderkey / 3.0) AS BIGINT) AS STRING) AS source_name, CAST(o_orderkey % 3 AS INT) AS source_page, 0 AS source_region, CAST(round(o_totalprice) AS BIGINT) AS total, CAST(o_orderdate AS DATE) AS issue_date, o_custkey % 25 + 25 * (o_orderkey % 7) AS partner_id FROM {orders}",
     "fields": "SELECT document_id, 'total' AS field_key, CASE WHEN document_id % 31 = 0 THEN 'unread' ELSE CAST(total AS STRING) END AS value, document_id * 10 AS id FROM {docs} UNION ALL SELECT document_id, 'issue_date', CASE WHEN document_id % 29 = 0 THEN '' ELSE CAST(issue_date AS STRING) END, document_id * 10 + 1 FROM {docs} UNION ALL SELECT d.document_id, 'issuer_name', p.core, d.document_id * 10 + 2 FROM {docs} d JOIN {partners} p ON p.partner_id = d.partner_id UNION ALL SELECT document_id, 'recipient_name', 'テスト商事' || CAST(client_id AS STRING), document_id * 10 + 3 FROM {docs} UNION ALL SELECT document_id, 'total', '1', document_id * 10 + 4 FROM {docs} WHERE document_id % 3 = 0",
     "candidates": "SELECT d.document_id, d.partner_id + r.r_regionkey AS partner_id, CAST(r.r_regionkey + 1 AS INT) AS rank, CAST(CASE WHEN d.document_id * 37 % 10001 < 1400 THEN 1400 ELSE d.document_id * 37 % 10001 END - 700 * r.r_regionkey AS DECIMAL(12,2)) / 100 AS raw_score, 'form' || CAST((d.partner_id + r.r_regionkey) % 50 AS STRING) AS matched FROM {docs} d CROSS JOIN {region} r WHERE r.r_regionkey < 3 AND d.document_id % 19 <> 0",

@@ -184,11 +184,11 @@ def audit_verify(spark, d):
     return audit.verify(log)
 
 
-@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad FROM {audit}")
+@query(f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad, list_reduce(list_prepend('', list({BODY} ORDER BY id)), lambda h, b: sha256(h || chr(31) || b)) AS last_hash FROM {{audit}}")
 def audit_chain(spark, d):
-    log = audit.chain(model(spark, d, "audit"))
+    log = staged(audit.chain(model(spark, d, "audit")), "log")
     bad = audit.verify(log).agg(F.count("*").alias("n_bad"))
-    return log.agg(F.count("*").alias("n_rows")).crossJoin(bad)  # one row each
+    return log.agg(F.count("*").alias("n_rows")).crossJoin(bad).crossJoin(audit.last_hash(log).withColumnRenamed("row_hash", "last_hash"))  # one row each
 
 
 @query("SELECT id, action, has_more FROM (SELECT id, action, count(*) OVER () > 50 AS has_more, row_number() OVER (ORDER BY id DESC) AS rn FROM (SELECT * FROM {audit} WHERE id < 800 AND occurred_at >= TIMESTAMP '2024-01-02' AND occurred_at < TIMESTAMP '2024-01-29' ORDER BY id DESC LIMIT 51)) WHERE rn <= 50")
@@ -201,7 +201,6 @@ def audit_actions(spark, d):
     return audit.actions(model(spark, d, "audit"))
 
 
-@query("SELECT CAST(max_by(event_type, event_id) AS VARCHAR) AS row_hash FROM {events}")
+@query("SELECT sha256(CAST(max(id) AS VARCHAR)) AS row_hash FROM {audit}")
 def audit_last_hash(spark, d):
-    e = model(spark, d, "events")
-    return audit.last_hash(e.select(F.col("event_id").alias("id"), F.col("event_type").alias("row_hash")))
+    return audit.last_hash(model(spark, d, "audit").select("id", F.sha2(F.col("id").cast("string"), 256).alias("row_hash")))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import audit
 from ..operators.mutations import upsert
@@ -23,6 +24,8 @@ def first_events(events: DataFrame, delay: str | None = None) -> DataFrame:
 
 
 GRACE = pd.Timedelta(days=14)
+#: How long after an event the same id is known as a repeat.
+REMEMBERED = pd.Timedelta(days=90)
 
 
 def next_state(status: str | None, grace, event) -> tuple[str, object]:
@@ -45,21 +48,24 @@ def next_state(status: str | None, grace, event) -> tuple[str, object]:
 def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, status, grace_us, seen = state.get if state.exists else (0, None, None, "")
     grace = None if grace_us is None else pd.Timestamp(grace_us, unit="us")
-    known = set(seen.split("\x1f")) if seen else set()
+    known = {i: int(at) for i, at in (x.rsplit("\x1e", 1) for x in seen.split("\x1f"))} if seen else {}
     rows = pd.concat(list(batches)).sort_values(["received_at", "event_id"])
     for e in rows.itertuples():
         if e.event_id in known:
             continue
-        known.add(e.event_id)
+        known[e.event_id] = int(e.received_at.value // 1000)
         status, grace = next_state(status, grace, e)
         n += 1
-    state.update((n, status, None if grace is None else int(grace.value // 1000), "\x1f".join(sorted(known))))
+    least = max(known.values(), default=0) - int(REMEMBERED.value // 1000)
+    seen = "\x1f".join(f"{i}\x1e{at}" for i, at in sorted(known.items()) if at >= least)
+    state.update((n, status, None if grace is None else int(grace.value // 1000), seen))
     yield pd.DataFrame({"subscription_id": [key[0]], "n_events": [n], "status": [status], "grace_until": pd.Series([grace], dtype="datetime64[ns]")})
 
 
 def subscription_states(events: DataFrame) -> DataFrame:
-    """The state of each subscription after every micro-batch that touches it; event ids are remembered with the state, so
-    recording an event and applying it are one step."""
+    """The state of each subscription after every micro-batch that touches it. Ids of events are remembered with the state,
+    so recording an event and applying it are one step; ids older than REMEMBERED before the newest are forgotten, which
+    bounds the state. An id belongs to one subscription, so each remembers its own."""
     return events.groupBy("subscription_id").applyInPandasWithState(
         _fold, "subscription_id string, n_events long, status string, grace_until timestamp", "n long, status string, grace_us long, seen string", "update", GroupStateTimeout.NoTimeout
     )
@@ -111,13 +117,25 @@ def settle_arrivals(settle_clients: Callable[[DataFrame], None], key: str = "cli
     return lambda batch, _: settle_clients(batch.select(key).distinct())
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, name: str, mode: str = "update") -> StreamingQuery:
-    """Everything there is now, into the memory table `name`."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Everything there is now, into Parquet under path: a folder for each micro-batch, written over if it runs again."""
+    q = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
+def latest_rows(spark: SparkSession, path: str, schema: StructType, keys: list[str] | None) -> DataFrame:
+    """What a table of micro-batches holds: of each key the row of the last batch; all rows where keys is None, and the rows
+    of the last batch alone where it is empty."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    if keys is None:
+        return rows.drop("batch")
+    if not keys:
+        return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in schema.names if c not in keys)), "batch").alias("v"))
+    return last.select(*keys, "v.*").select(*schema.names)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """An extension: counts and sums of events by time window and type, late rows kept for `delay`."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
