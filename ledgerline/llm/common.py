@@ -41,7 +41,17 @@ def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete what materialise() wrote, once nothing reads it any more."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Arrow batches to Python, the same for every operator: a lazy plan may run after another operator was called.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = materialise(spark, large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(spark, small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, materialise(spark, small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(spark, old, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

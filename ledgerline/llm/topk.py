@@ -158,7 +158,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 5, scale:
     are exact while scale * x is below 2**53; a score beyond a long is the nearest long.
 
     Queries go to the executors QUERIES at a time, so what is broadcast is bounded; each such block is one pass over
-    the index.
+    the index, and its result is written before the next one begins.
     """
     ship(spark)
     rows = materialise(spark, quantised(vectors, id_col, vector_col, scale).repartition(shuffle_partitions(spark), "row"), "quantised")
@@ -168,7 +168,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 5, scale:
     for i in range(passes):
         mine = asked.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == i).collect()
         sent = spark.sparkContext.broadcast([(r.vec_id, r.row, np.array(r.q, np.int64)) for r in mine])
-        parts.append(rows.mapInArrow(lambda batches, sent=sent: _search(batches, sent.value, k), "query_id long, query_row long, vec_id long, score long"))
+        own = rows.mapInArrow(lambda batches, sent=sent: _search(batches, sent.value, k), "query_id long, query_row long, vec_id long, score long")
+        parts.append(materialise(spark, own, "found"))
+        sent.destroy()  # what this pass found is written
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

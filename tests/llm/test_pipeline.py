@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 from ledgerline.llm import queries
 
+from .fixtures import documents, rows
 from .test_dedup import brute_components, brute_exact, brute_fingerprint
 from .test_mix_pack import check
 
@@ -21,9 +22,9 @@ def test_stages_against_brute_force(spark):
     _, kept = brute_exact([(r.doc_id, r.text) for r in held])
     assert sorted(r.doc_id for r in once.collect()) == sorted(kept.values()) and once.columns == docs.columns
 
-    rows = once.collect()
+    held = once.collect()
     near = corpus_pipeline.drop_near_copies(spark, once, SF)
-    want = {c for _, _, c in brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows])}
+    want = {c for _, _, c in brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in held])}
     assert {r.doc_id for r in near.collect()} == want and near.columns == docs.columns
 
     mixed = corpus_pipeline.mix_sources(spark, near, SF)
@@ -36,6 +37,20 @@ def test_stages_against_brute_force(spark):
     assert padding <= 4096 * near.rdd.getNumPartitions()
 
 
+def test_stages_bear_awkward_rows(spark, tmp_path):
+    """Null and empty texts, rows that repeat, a row without doc_id, columns with clashing names; then no rows at all."""
+    spark.createDataFrame([(i, int(i % 7 == 0), 1) for i in range(40)] + [(None, 1, None), (3, None, 1)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).collect()
+        if name != "packing":
+            assert len(out) > 0 and set(out[0].asDict()) == set(docs.columns), name
+            docs = spark.createDataFrame(out, docs.schema).repartition(3)
+    assert sum(r.length for r in out) == sum({(r.doc_id, r.sequence_id, r.offset): r.length for r in out}.values()) and {r.doc_id for r in out} <= {r[0] for r in rows()}
+    documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run_gives_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
