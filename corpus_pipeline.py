@@ -2,6 +2,11 @@
 
 Toxic documents are rejected, exact duplicates dropped, one document of each near-duplicate group kept, sources mixed
 to their target weights, and what is left packed into context windows.
+
+A null text counts as empty in every stage: it is never toxic, equals other empty ones, has fingerprint zero, and size 0,
+so that the mix leaves it out. A row without doc_id stays where no row with one is kept for it. Rows that repeat a doc_id
+are rows of their own; exact dedup keeps the first of equal ones. All columns of documents go through to packing,
+whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import exact_dedup, mixing, packing, simhash, toxicity
-from ledgerline.llm.common import materialise, table
+from ledgerline.llm.common import discard, materialise, table
 from ledgerline.llm.queries import WORD_BPE, tokenizer_file
 
 
@@ -42,7 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(spark, docs, name.replace(" ", "_"))
+            discard(spark, before)
     return docs

@@ -13,6 +13,11 @@ UPPER, LOWER = 95.0, 55.0
 
 # Dates and amounts
 
+def drawn(seed: int, *cols: str) -> Column:
+    """A number below 2**60 that follows from the seed and the columns, the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))), 1, 15), 16, 10).cast("long")
+
+
 def stripped(s: Column) -> Column:
     """s without white space of any kind at its ends, wide blanks and tabs included."""
     return F.regexp_replace(s, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")

@@ -159,7 +159,16 @@ def extract_fields(spark, d):
     return extract.extract_fields(blocks).select("document_id", "field_key", "value")
 
 
-@query()
+def _listed(items: list[str]) -> str:
+    return f"[{', '.join(map(lit, items))}]"
+
+
+_PICK = lambda items, seed: f"list_extract({_listed(items)}, CAST(CAST(('0x' || substr(md5('{seed}:' || CAST(id AS VARCHAR)), 1, 15)) AS BIGINT) % {len(items)} + 1 AS INT))"
+
+
+@query(f"""WITH m AS (SELECT id, {_PICK(generators.HEADS, generators.SEED)} || {_PICK(generators.TAILS, generators.SEED + 1)} || CASE WHEN id % 3 = 0 THEN CAST(id % 999 + 1 AS VARCHAR) ELSE '' END AS name FROM (SELECT CAST(p_partkey + 1 AS BIGINT) AS id FROM {{part}})),
+  s AS (SELECT id, unnest([0, 1, 2, 3, 4]) AS shape, unnest([name, 'カ)' || name, name || '(カ', 'フリコミ ' || name, 'フリコミ' || name]) AS whole FROM m)
+SELECT id AS partner_id, shape, CAST(t AS INTEGER) AS trunc, CASE WHEN t = 0 THEN whole ELSE substr(whole, 1, t) END AS text, CAST(length(whole) AS INTEGER) AS full_len, t > 0 AND length(whole) > t AS cut FROM s, (SELECT unnest({generators.TRUNCATIONS}) AS t)""")
 def generate_descriptions(spark, d):
     return generators.descriptions(generators.masters(spark, model(spark, d, "part").count()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..functions.values import drawn
 
 #: Invented names: a head, a tail and sometimes a number.
 HEADS = ["ミナト", "アオイ", "カモメ", "ツキノ", "イサミ", "ホトリ", "ソラノ", "ユキワ"]
@@ -21,13 +22,13 @@ def pick(values: list[str], n: Column) -> Column:
 def masters(spark: SparkSession, n: int = 200, seed: int = SEED) -> DataFrame:
     """partner_id, core, canonical, variants: 80 % of one legal form, 20 % of the other; 2 to 4 written variants."""
     i = F.col("id")
-    core = F.concat(pick(HEADS, F.xxhash64("id", F.lit(seed))), pick(TAILS, F.xxhash64("id", F.lit(seed + 1))), F.when(i % 3 == 0, (i % 999 + 1).cast("string")).otherwise(""))
-    stock = F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(10)) < 8
+    core = F.concat(pick(HEADS, drawn(seed, "id")), pick(TAILS, drawn(seed + 1, "id")), F.when(i % 3 == 0, (i % 999 + 1).cast("string")).otherwise(""))
+    stock = drawn(seed + 2, "id") % 10 < 8
     both = lambda full, short, sign: [F.concat(F.lit(full), "core"), F.concat("core", F.lit(full)), F.concat(F.lit(short), "core"), F.concat("core", F.lit(sign))]
     stock_forms, limited_forms = F.array(*both("株式会社", "(株)", "㈱")), F.array(*both("有限会社", "(有)", "㈲"))
     rows = spark.range(1, n + 1).withColumn("core", core).withColumn("all", F.when(stock, stock_forms).otherwise(limited_forms))
     shuffled = F.array_sort(F.transform("all", lambda v: F.struct(F.xxhash64(v, F.lit(seed)).alias("k"), v.alias("v"))))
-    variants = F.slice(F.transform(shuffled, lambda s: s.v), 1, F.pmod(F.xxhash64("id", F.lit(seed + 3)), F.lit(3)).cast("int") + 2)
+    variants = F.slice(F.transform(shuffled, lambda s: s.v), 1, (drawn(seed + 3, "id") % 3).cast("int") + 2)
     return rows.select(i.alias("partner_id"), "core", variants.alias("variants")).withColumn("canonical", F.element_at("variants", 1))
 
 
@@ -54,7 +55,7 @@ def forms(partners: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     """n documents with their truth: doc_type, partner, written name, date, number, rows of items, totals, degradation."""
     spark = partners.sparkSession
     count = partners.count()
-    r = lambda k: F.pmod(F.xxhash64("document_id", F.lit(seed + k)), F.lit(1_000_003))
+    r = lambda k: drawn(seed + k, "document_id") % 1_000_003
     docs = spark.range(1, n + 1).select(F.col("id").alias("document_id")).withColumn("partner_id", r(0) % count + 1)
     lines = F.transform(F.sequence(F.lit(1), (r(1) % 5 + 1).cast("int")), lambda i: F.struct(pick(ITEMS, r(2) + i).alias("item"), ((r(3) + i) % 20 + 1).cast("int").alias("qty"), ((r(4) * i) % 9000 + 100).cast("int").alias("unit")))
     rows = F.transform(lines, lambda x: F.struct(x.item.alias("item"), x.qty.alias("qty"), x.unit.alias("unit"), (x.qty * x.unit).alias("amount")))
