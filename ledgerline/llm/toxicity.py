@@ -121,7 +121,7 @@ def trimmed(token: str) -> str:
 class Restorer:
     """Restored forms of tokens and of what stands between plain words; those seen are kept, up to MOST characters of them."""
 
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, model: CharacterModel):
         self.log, self.rows = model.log, model.log.tolist()
@@ -235,7 +235,7 @@ class Finder:
     of all features that are, if there is a list of them."""
 
     #: Characters of tokens of which the description is kept at most.
-    MOST = 3_000_000
+    MOST = 1_500_000
 
     def __init__(self, model: CharacterModel, number: Callable[[str], int | None], names: list[str] | None = None):
         self.restorer, self.number, self.known, self.held = Restorer(model), number, {}, 0
