@@ -25,10 +25,9 @@ def jaccard_sim(grams_a: Column, grams_b: Column) -> Column:
 
 def prefix_sim(a: Column, b: Column) -> Column:
     """Length of the common prefix over the longer length; 0 where either is empty."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), _longest(a, b)))
-    same = F.transform(places, lambda i: (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))) & (i <= F.length(a)) & (i <= F.length(b)))
-    first = F.array_position(same, F.lit(False))
-    common = F.when(first == 0, _longest(a, b)).otherwise(first - 1)
+    # The longest beginning of a that comes again right after the mark between the two.
+    both = F.concat(F.translate(a, "\x00", "\ufffd"), F.lit("\x00"), F.translate(b, "\x00", "\ufffd"))
+    common = F.length(F.regexp_extract(both, r"^([^\x00]*)[^\x00]*\x00\1", 1))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(common / _longest(a, b))
 
 

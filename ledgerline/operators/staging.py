@@ -26,3 +26,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df by cols over all shuffle partitions. What follows multiplies rows, so partitions must not be merged for having few
+    bytes now; aggregates and windows by these columns need no other shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import decision, evaluate, linkage
-from ..operators.staging import staged
+from ..operators.staging import spread, staged
 from .model import model
 from .registry import query
 from .sqltext import combined, grams, jac, lev, metrics, norm, trigrams
@@ -35,7 +35,8 @@ SCORED = f"""{BLOCKED}, scored AS (
 
 
 def forms(spark: SparkSession, d: str) -> DataFrame:
-    return staged(linkage.build_forms(model(spark, d, "partners"), model(spark, d, "aliases")), "forms")
+    # The driver's file of parts is one row group.
+    return staged(linkage.build_forms(spread(model(spark, d, "partners"), "partner_id"), spread(model(spark, d, "aliases"), "partner_id")), "forms")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
