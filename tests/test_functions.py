@@ -7,6 +7,7 @@ from ledgerline.functions import similarity, text, values
 
 from .helpers import evaluate
 
+# SAME, BANK, SCORES and SETTLED, which must come out as they are here.
 SAME = [
     ["株式会社ヤマト商事", "ヤマト商事株式会社", "(株)ヤマト商事", "ヤマト商事(株)", "㈱ヤマト商事", "ヤマト商事㈱", "ヤマト商事"], ["有限会社サクラ工業", "サクラ工業有限会社", "(有)サクラ工業", "㈲サクラ工業", "サクラ工業"],
     ["ＡＢＣ商事", "ABC商事", "ａｂｃ商事", "abc商事"], ["ヤマト 商事", "ヤマト　商事", "ヤマト商事"], ["ヤマト・商事", "ヤマト-商事", "ヤマト＆商事"], ["やまと商事", "ヤマト商事", "ﾔﾏﾄ商事"], ["ﾊﾞﾝﾀﾞｲ", "バンダイ"], ["ﾊﾟﾝ工房", "パン工房"],
@@ -120,3 +121,15 @@ def test_names_are_tidied(spark):
 def test_unknown_decisions_fail(spark):
     with pytest.raises(Exception, match="unknown decision"):
         evaluate(spark, values.decision_action, [(9,)], "a int")
+
+
+def test_white_space_of_any_kind_is_stripped_from_ledger_cells(spark):
+    cells = [("\t-500",), ("　-1,500 ",), ("\u00a0▲20",), ("　７８９",), ("9223372036854775807",), ("9223372036854775808",), (" \u2003 ",), (None,), ("1-2",)]
+    assert evaluate(spark, values.ledger_amount, cells, "a string") == [-500, -1500, -20, 789, 9223372036854775807, 0, 0, 0, 12]
+    days = [("　2026/7/5",), ("\t20260705 ",), ("2026年7月5日\u3000",), ("2026/13/1",), ("　",)]
+    assert [str(v) for v in evaluate(spark, values.ledger_date, days, "a string")] == ["2026-07-05"] * 3 + ["None"] * 2
+
+
+def test_common_prefixes(spark):
+    pairs = [("abc", "abd"), ("abc", "abc"), ("a", "b"), ("", "a"), ("aab", "aa"), ("a\nb", "a\nc"), ("aa", "aaa"), ("x\0y", "x\0z")]
+    assert evaluate(spark, lambda a, b: F.round(similarity.prefix_sim(a, b), 4), pairs, "a string, b string") == [0.6667, 1.0, 0.0, 0.0, 0.6667, 0.6667, 0.6667, 0.6667]

@@ -1,5 +1,6 @@
 import datetime
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -226,3 +227,47 @@ def test_webhooks(spark):
     bodies = [('{"id": "e1", "type": "invoice.payment_failed", "data": {"object": {"id": "in", "subscription": "s1"}}}',), ('{"id": "e2", "type": "customer.subscription.updated", "data": {"object": {"id": "s2", "status": "active"}}}',), ('{"id": "e3", "type": "other"}',)]
     got = readers.webhook_events(spark.createDataFrame(bodies, "body string").withColumn("received_at", F.current_timestamp())).collect()
     assert Counter((r.event_id, r.subscription_id, r.status, r.payment_failed) for r in got) == Counter([("e1", "s1", None, True), ("e2", "s2", "active", False)])
+
+
+def test_similar_norms_equal_all_pairs(spark):
+    """The prefix-filtered join against every pair of a client, at several bars."""
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abc1") for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    q = spark.createDataFrame([(i % 2, n) for i, n in enumerate(names[:60])], "client_id long, norm string")
+    f = spark.createDataFrame([(i % 2, n) for i, n in enumerate(names[60:])], "client_id long, norm string").withColumn("trgm", text.trigrams(F.col("norm")))
+
+    def grams(n):
+        return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", n) for i in range(len(w) + 1)}
+
+    for at in (0.1, 0.3, 0.5, 1.0):
+        got = {(r.client_id, r.norm, r.form_norm): r.sim for r in linkage.similar_norms(q, f, at).collect()}
+        want = {}
+        for i, a in enumerate(names[:60]):
+            for j, b in enumerate(names[60:]):
+                x, y = grams(a), grams(b)
+                if i % 2 == j % 2 and x and y and len(x & y) / len(x | y) >= at - 1e-12:
+                    want[i % 2, a, b] = len(x & y) / len(x | y)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_malformed_files_tell_their_error(spark):
+    long = "x" * 200_000
+    files = {"open": '日付,摘要\n2026/01/02,"a', "bare": '日付\n2026/01/02 "x" y', "empty": "", "long": f"日付,摘要,出金\n2026/01/02,{long},5\n", "quoted": '日付,摘要,出金\n2026/01/02,"a ""b"", c\nd",5\n'}
+    lines = readers.csv_lines(spark.createDataFrame([(k, bytearray(v.encode())) for k, v in files.items()], "path string, content binary"))
+    rows = readers.bank_rows(lines)
+    bad = {r.path: r.error for r in readers.check_files(lines, rows).collect()}
+    assert set(bad) == {"open", "bare", "empty"} and bad["empty"] == "empty file" and bad["open"].startswith("not readable")
+    assert {r.path: (len(r.description), r.amount) for r in rows.collect()} == {"long": (200_000, 5), "quoted": (10, 5)}
+
+
+def test_thresholds_by_scope_equal_all_pairs(spark):
+    rng = random.Random(2)
+    pick = lambda: rng.choice([None, 1, 2])
+    t = [(i, rng.choice([1, 2]), pick(), pick(), pick(), float(i), 0.0, datetime.date(2020, 1, rng.randint(1, 5)), None) for i in range(1, 40)]
+    s = [(i, rng.choice([1, 2]), pick(), pick(), pick()) for i in range(60)]
+    keys = "organization_id long, client_id long, partner_id long, doc_type int"
+    got = decision.thresholds_for(spark.createDataFrame(s, f"subject_id long, {keys}"), spark.createDataFrame(t, f"threshold_id long, {keys}, upper double, lower double, valid_from date, valid_to date"), F.to_date(F.lit("2020-01-04")))
+    for r in got.collect():
+        fits = [x for x in t if x[1] == r.organization_id and all(a is None or a == b for a, b in zip(x[2:5], (r.client_id, r.partner_id, r.doc_type))) and x[7] <= datetime.date(2020, 1, 4)]
+        best = max(fits, key=lambda x: (x[3] is not None, x[2] is not None, x[4] is not None, x[7], x[0]), default=None)
+        assert r.threshold_id == (best and best[0])
