@@ -83,7 +83,7 @@ class TrieCounter:
     """Token counts of pre-tokens. A character that no piece covers costs one token a UTF-8 byte, each below any piece."""
 
     #: Characters of pre-tokens whose counts are kept at most before they are forgotten.
-    MOST = 4_000_000
+    MOST = 8_000_000
     _made: dict[int, TrieCounter] = {}
 
     def __init__(self, scores: dict[str, float]):
