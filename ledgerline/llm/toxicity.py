@@ -121,7 +121,7 @@ def trimmed(token: str) -> str:
 class Restorer:
     """Restored forms of tokens and of what stands between plain words; those seen are kept, up to MOST characters of them."""
 
-    MOST = 1_000_000
+    MOST = 1_500_000
 
     def __init__(self, model: CharacterModel):
         self.log, self.rows = model.log, model.log.tolist()
@@ -227,7 +227,7 @@ def features(word: str) -> list[str]:
 
 
 def unpacked(bits):
-    return *((bits >> i & 1) == 1 for i in range(4)), bits >> 4 & 4095, bits >> 16 & 4095
+    return *((bits >> i & 1) == 1 for i in range(4)), np.int16(bits >> 4 & 4095), np.int16(bits >> 16 & 4095)
 
 
 class Finder:
@@ -235,7 +235,7 @@ class Finder:
     of all features that are, if there is a list of them."""
 
     #: Characters of tokens of which the description is kept at most.
-    MOST = 1_500_000
+    MOST = 2_500_000
 
     def __init__(self, model: CharacterModel, number: Callable[[str], int | None], names: list[str] | None = None):
         self.restorer, self.number, self.known, self.held = Restorer(model), number, {}, 0
@@ -278,7 +278,7 @@ class Finder:
         if apart:
             low = pc.replace_with_mask(low, maybe, pa.array([self.drawn(low[i].as_py(), lambda words, i=i: add(i, self.numbers(words))) for i in apart], low.type))
         counts, index, words = distinct_words(low, pc.utf8_split_whitespace)
-        text = np.repeat(np.arange(len(texts)), counts)
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         words = words.to_numpy(zero_copy_only=False).tolist()
         if self.held > self.MOST:
             self.known, self.held = {}, 0
@@ -294,7 +294,7 @@ class Finder:
         if len(index):
             for t, numbers in self.respaced(text, index, known):
                 add(t, numbers)
-        pairs = np.r_[np.repeat(text[at], sizes[index[at]]), np.array(more_at, np.int64)], np.r_[ragged(flat, np.cumsum(sizes) - sizes, sizes, index[at]), np.array(more, np.int64)]
+        pairs = np.r_[np.repeat(text[at], sizes[index[at]]), np.array(more_at, np.int64)].astype(np.int64), np.r_[ragged(flat, np.cumsum(sizes) - sizes, sizes, index[at]), np.array(more, np.int64)]
         width = int(pairs[1].max(initial=0)) + 1
         return np.divmod(np.unique(pairs[0] * width + pairs[1]), width)
 
@@ -310,14 +310,14 @@ class Finder:
 
     def respaced(self, text: np.ndarray, index: np.ndarray, known: list[tuple]):
         """(text, features) of what the best paths over the gaps of texts join or part. text, index: of each token."""
-        plain, left, right, heads, head, tail = unpacked(np.array([x[2] for x in known], np.int64)[index])
+        plain, left, right, heads, head, tail = unpacked(np.array([x[2] for x in known], np.int32)[index])
         joins = left | right
         link = np.zeros(len(index) + 1, bool)  # link[i]: token i may join with the one before
         link[1:-1] = right[:-1] & left[1:] & (text[:-1] == text[1:])
         soft = np.zeros(len(index) + 1, bool)  # soft[i]: no plain space stands before token i
 
         i = np.flatnonzero(link[1:-1] & plain[:-1] & plain[1:]) + 1
-        (a, b), (c, d), log = np.divmod(tail[i - 1], SYMBOLS), np.divmod(head[i], SYMBOLS), self.restorer.log
+        (a, b), (c, d), log = np.divmod(tail[i - 1], np.int16(SYMBOLS)), np.divmod(head[i], np.int16(SYMBOLS)), self.restorer.log
         soft[i] = log[a, b, c] + log[b, c, d] - COST_GAP > log[a, b, 0] + log[b, 0, c] + log[0, c, d]
 
         # Groups of pieces that aren't plain words, and how each reads between the words about it.
@@ -326,12 +326,11 @@ class Finder:
         stops = np.flatnonzero(inner & ~(link[1:] & np.r_[inner[1:], False])) + 1
         before = np.where(link[starts] & plain[starts - 1], tail[starts - 1], -1)
         after = np.where(link[stops] & plain[np.minimum(stops, len(plain) - 1)], head[np.minimum(stops, len(plain) - 1)], -1)
-        place = index.tolist()
         groups: dict[int, tuple[int, str]] = {}
         for s, e, x, y in zip(starts.tolist(), stops.tolist(), before.tolist(), after.tolist(), strict=True):
             if e - s == 1 and x < 0 and y < 0:
                 continue  # on its own: read as a word
-            pieces = tuple(known[k][0] for k in place[s:e])
+            pieces = tuple(known[k][0] for k in index[s:e].tolist())
             read, changed = self.restorer.stretch(divmod(x, SYMBOLS) if x >= 0 else (), pieces, divmod(y, SYMBOLS) if y >= 0 else ())
             if changed:
                 groups[s] = e, read
@@ -345,12 +344,12 @@ class Finder:
         some = np.flatnonzero((odd[last + 1] > odd[first]) | heads[first])
         first, last = first[some], last[some]
         for s, e, t in zip(first.tolist(), last.tolist(), text[first].tolist(), strict=True):
-            key = tuple(place[s : e + 1])
+            key = tuple(index[s : e + 1].tolist())
             numbers = seen.get(key)
             if numbers is None:
                 out, k = [], s
                 while k <= e:
-                    stop, read = groups.get(k) or (k + 1, known[place[k]][0])
+                    stop, read = groups.get(k) or (k + 1, known[index[k]][0])
                     out.append(read)
                     k = stop
                 numbers = seen[key] = self.numbers("".join(out).split())

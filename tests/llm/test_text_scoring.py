@@ -98,7 +98,7 @@ def plain_respaced(model, text):
 
     for token in text.split():
         core, _, bits = finder.described(token)
-        plain, left, right, _, first, last = toxicity.unpacked(bits)
+        plain, left, right, _, first, last = map(int, toxicity.unpacked(bits))
         if not left or not after:
             close(())
             out.append(" ")
