@@ -143,8 +143,9 @@ class Engine:
         forms = own.union(named).select("document_id", normalize(F.col("form")).alias("norm")).distinct()
         names = partners.select("client_id", "name", F.col("name").alias("form")).union(aliases.join(partners, "partner_id").select("client_id", "name", "alias"))
         old = self.table("settlements")
-        out, scored = settlement.settle(docs, only(self.table("transactions")), forms, names.select("client_id", "name", normalize(F.col("form")).alias("norm")), old, upper, lower)
-        out = staged(settlement.with_reasons(out, scored, upper, lower), "reasoned")
+        txs, names = only(self.table("transactions")), names.select("client_id", "name", normalize(F.col("form")).alias("norm"))
+        out, best = settlement.settle(docs, txs, forms, names, old, upper, lower)
+        out = staged(settlement.with_reasons(out, settlement.name_lists(best, names), upper, lower), "reasoned")
         owners = docs.join(self.table("clients"), "client_id").select("document_id", "organization_id")
         changed = out.where("changed")
         rows = staged(changed.join(owners, "document_id").select(
@@ -153,7 +154,8 @@ class Engine:
             F.to_json(F.struct("status", "transaction_id", "score", "why")).alias("after"), F.lit(None).cast("long").alias("threshold_id"), at.alias("occurred_at"),
         ), "audit")
         kept = self.table("settlement_candidates")
-        fresh = settlement.ranked(scored).select(*kept.columns)
+        told = docs.join(changed.select("document_id"), "document_id", "left_semi")
+        fresh = settlement.ranked(settlement.candidates(told, txs, forms, names, [*settlement.CANDIDATE, "rank"], upper, lower)).select(*kept.columns)
         new = changed.select(*(c if c in changed.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns))
         after, candidates = mutations.save_settlements(old, kept, new, fresh)
         candidates = staged(candidates, "candidates")

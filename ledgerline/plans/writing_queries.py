@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import audit, decision, evaluate, mutations, reads, settlement, states
+from ..operators.staging import staged
 from .model import model
 from .reading_queries import NOW, now
 from .registry import query
-from .settling_queries import DECIDED, doc_forms, docs, partner_forms, txs
+from .settling_queries import DECIDED, best, docs
 
 
 def _read_again(spark, d):
@@ -139,8 +140,9 @@ SELECT document_id, CASE WHEN best IS NULL THEN 'none' WHEN status = 4 THEN 'low
 def settle_reasons(spark, d):
     """What the reason of each settlement tells."""
     t = docs(spark, d)
-    scored = settlement.candidates(t, txs(spark, d), doc_forms(spark, d, t), partner_forms(spark, d))
-    why = settlement.with_reasons(settlement.decide(t, scored), scored)
+    found = staged(best(spark, d, t), "best")
+    # What is told here doesn't depend on the list of names.
+    why = settlement.with_reasons(settlement.decide(t, found), found.withColumn("names", F.lit("")))
     kind = F.when(F.col("why").startswith("no transaction"), "none").when(F.col("why").startswith("the best score"), "low").when(F.col("why").contains("is at least"), "auto").otherwise("review")
     told = {"fee": "transfer fee", "undated": "date is unreadable", "early": "perhaps in advance", "ambiguous": "description is cut off and fits"}
     return why.select("document_id", kind.alias("kind"), *(F.col("why").contains(x).alias(c) for c, x in told.items()))
