@@ -8,7 +8,7 @@ import io
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,29 +39,53 @@ def decode_bytes(raw: bytes) -> str:
 QUOTED = re.compile(r'(?:(?<=[,\r\n])|\A)"(?:[^"]|"")*"(?=[,\r\n]|\Z)')
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Lines, and bytes of files, that make a batch.
+BATCH_LINES, BATCH_BYTES = 10_000, 1 << 23
+_LINE = pa.schema([("path", pa.string()), ("file_sha256", pa.string()), ("line_no", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+
+
+def _cells(raw: bytes) -> tuple[list[list[str]], str | None]:
+    """The lines of a file, or none and what is wrong with it."""
+    try:
+        text = decode_bytes(raw)
+        if '"' in text and '"' in QUOTED.sub("", text):
+            raise csv.Error("a quote within a cell, or one that isn't closed")
+        lines = list(csv.reader(io.StringIO(text, newline="")))
+        return lines, None if lines else "empty file"
+    except csv.Error as e:
+        return [], f"not readable as CSV: {e}"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of many small files share a batch; a large one is cut into several."""
     csv.field_size_limit(1 << 31)
+    rows, size = [], 0
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LINE)], schema=_LINE)
+
     for b in batches:
-        for path, raw in zip(b["path"], b["content"], strict=True):
+        for path, raw in zip(b["path"], b["content"]):
+            path, raw = path.as_py(), raw.as_py()
             digest = hashlib.sha256(raw).hexdigest()
-            rows = []
-            try:
-                text = decode_bytes(bytes(raw))
-                if '"' in QUOTED.sub("", text):
-                    raise csv.Error("a quote within a cell, or one that isn't closed")
-                for i, cells in enumerate(csv.reader(io.StringIO(text, newline=""))):
-                    rows.append((path, digest, i, cells, None))
-                if not rows:
-                    rows = [(path, digest, 0, [], "empty file")]
-            except csv.Error as e:
-                rows = [(path, digest, 0, [], f"not readable as CSV: {e}")]
-            yield pd.DataFrame(rows, columns=["path", "file_sha256", "line_no", "cells", "error"])
+            lines, error = _cells(raw)
+            size += len(raw)
+            for i, cells in enumerate(lines or [[]]):
+                rows.append((path, digest, i, cells, error))
+                if len(rows) >= BATCH_LINES:
+                    yield full()
+                    rows = []
+            if size >= BATCH_BYTES and rows:
+                yield full()
+                rows, size = [], 0
+    if rows:
+        yield full()
 
 
 def csv_lines(files: DataFrame) -> DataFrame:
     """Whole files (path, content) to numbered lines of cells; lines may have any number of them, quotes may hold breaks.
     A file that is empty or no CSV is one line without cells that tells the error."""
-    return files.select("path", "content").mapInPandas(_parse, LINES)
+    return files.select("path", "content").mapInArrow(_parse, LINES)
 
 
 def _columns(lines: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
