@@ -10,7 +10,7 @@ from ..operators.staging import staged
 from .model import model
 from .reading_queries import NOW, now
 from .registry import query
-from .settling_queries import DECIDED, best, docs
+from .settling_queries import DECIDED, best, formed
 
 
 def _read_again(spark, d):
@@ -139,7 +139,7 @@ def reg_reasons(spark, d):
 SELECT document_id, CASE WHEN best IS NULL THEN 'none' WHEN status = 4 THEN 'low' ELSE CASE status WHEN 1 THEN 'auto' ELSE 'review' END END AS kind, status < 4 AND diff > 0 AS fee, status < 4 AND undated AS undated, status < 4 AND coalesce(early, false) AS early, status = 3 AND n_names IS NOT NULL AS ambiguous FROM facts""")
 def settle_reasons(spark, d):
     """What the reason of each settlement tells."""
-    t = docs(spark, d)
+    t = formed(spark, d)
     found = staged(best(spark, d, t), "best")
     # What is told here doesn't depend on the list of names.
     why = settlement.with_reasons(settlement.decide(t, found), found.withColumn("names", F.lit("")))
