@@ -6,6 +6,7 @@ DataFrame operations on the lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -13,14 +14,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import REG_LABELS, any_of, ascii_fold, find_reg_no, find_reg_no_loose, has_corporate, looks_like_address, looks_like_contact, looks_like_doc_no, looks_like_label, looks_like_title, looks_numeric, tidy_name
-from ..functions.values import recognised_amount, recognised_date
+from ..functions.text import ADDRESSES, CONTACTS, CORPORATE, LABELS, NARROW, REG_LABELS, TITLES, WIDE, ascii_fold, find_reg_no, find_reg_no_loose, looks_like_doc_no, looks_numeric, tidy_name
+from ..functions.values import recognised_amount, with_recognised_date
 
-LINES = "document_id long, all array<struct<line:int,text:string,confidence:double,x:int,y:int,w:int,h:int>>"
 #: How far centres may lie apart in one row, in heights.
 ROW = 0.6
 HONORIFICS = ["御中", "様"]
 TOTALS, NUMBERS = ["合計金額", "合計", "総額", "御請求"], ["No.", "No", "番号", "伝票"]
+#: Words that are looked for in the text of a line, each kind a bit of its number.
+KINDS = {"corporate": CORPORATE, "title": TITLES, "to": HONORIFICS, "labelled": REG_LABELS, "label": LABELS, "contact": CONTACTS, "address": ADDRESSES, "totals": TOTALS, "numbers": NUMBERS, "money": ["¥", "\\", "円"]}
+BIT = {k: 1 << i for i, k in enumerate(KINDS)}
+FOLD = str.maketrans(WIDE + "ー−‐", NARROW + "---")
+#: Texts whose kinds a worker remembers.
+TEXTS = 1 << 16
+LINE = {
+    "document_id": pa.int64(), "line": pa.int32(), "text": pa.string(), "confidence": pa.float64(), "x": pa.int32(), "y": pa.int32(), "w": pa.int32(), "h": pa.int32(), "page_w": pa.int32(), "page_h": pa.int32(),
+    "contacts": pa.int32(), "honor": pa.int32(), "by_total": pa.bool_(), "by_number": pa.bool_(), "kinds": pa.int32(),
+}
+LINES = ", ".join(f"{k} {({pa.int64(): 'long', pa.int32(): 'int', pa.string(): 'string', pa.float64(): 'double', pa.bool_(): 'boolean'})[v]}" for k, v in LINE.items())
 
 
 def line_blocks(blocks: Iterable[dict]) -> list[dict]:
@@ -53,46 +64,78 @@ def line_blocks(blocks: Iterable[dict]) -> list[dict]:
     return [{"line": i} | line for i, line in enumerate(out)]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks that come by document and in order, to the lines of each document as one array."""
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string()), ("confidence", pa.float64()), *((c, pa.int32()) for c in "xywh")]))
-    out: list[tuple] = []
-    for doc, blocks in groupby((r for b in batches for r in b.to_pylist()), lambda r: r["document_id"]):
-        if found := line_blocks(blocks):
-            out.append((doc, found))
-        if len(out) >= 1000:
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([f for _, f in out], kind)], names=["document_id", "all"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([f for _, f in out], kind)], names=["document_id", "all"])
+def text_kinds(text: str) -> int:
+    """The kinds of words in a text. Contacts may be in full-width signs; a title is none beside a corporate form."""
+    found = sum(BIT[k] for k, p in _WORDS.items() if p.search(text.translate(FOLD) if k == "contact" else text))
+    return found & ~BIT["title"] if found & BIT["corporate"] else found
 
 
-def lines(blocks: DataFrame) -> DataFrame:
-    ordered = blocks.repartition("document_id").sortWithinPartitions("document_id", "seq")
-    return ordered.select("document_id", "text", "confidence", *"xywh").mapInArrow(_lines, LINES)
+_WORDS = {k: re.compile("|".join(map(re.escape, words))) for k, words in KINDS.items()}
 
 
-def _same_row(a: Column, b: Column) -> Column:
-    return F.abs((a.y + a.h / 2) - (b.y + b.h / 2)) < F.greatest(F.lit(1), a.h, b.h) * ROW
+def _same_row(a: dict, b: dict) -> bool:
+    return abs((a["y"] + a["h"] / 2) - (b["y"] + b["h"] / 2)) < max(1, a["h"], b["h"]) * ROW
 
 
-def _below(a: Column, b: Column) -> Column:
+def _below(a: dict, b: dict) -> bool:
     """b lies under a: its top under a's middle, within eight heights of a's lower edge, and they overlap in x."""
-    return (b.y >= a.y + a.h / 2) & (b.y - (a.y + a.h) <= a.h * 8) & (b.x < a.x + a.w) & (a.x < b.x + b.w)
+    return b["y"] >= a["y"] + a["h"] / 2 and b["y"] - (a["y"] + a["h"]) <= a["h"] * 8 and b["x"] < a["x"] + a["w"] and a["x"] < b["x"] + b["w"]
+
+
+def _honorific(a: dict, b: dict) -> int:
+    """1 where the honorific b is in a's row, right after it; 2 where it stands under a; 0 otherwise."""
+    if _same_row(a, b) and b["x"] > a["x"] and b["x"] - (a["x"] + a["w"]) < a["h"] * 6:
+        return 1
+    return 2 if _below(a, b) and b["y"] - (a["y"] + a["h"]) < a["h"] * 3 else 0
+
+
+def look_around(lines: list[dict], known: dict[str, int]) -> None:
+    """Adds to the lines of a document what their texts and the lines around them tell; known: kinds of texts seen before."""
+    for a in lines:
+        if (kinds := known.get(a["text"])) is None:
+            if len(known) >= TEXTS:
+                known.clear()
+            kinds = known[a["text"]] = text_kinds(a["text"])
+        a["kinds"] = kinds
+    page_w, page_h = max(a["x"] + a["w"] for a in lines), max(a["y"] + a["h"] for a in lines)
+    having = lambda *names: [a for a in lines if a["kinds"] & sum(BIT[n] for n in names)]
+    near, honorifics, total, number = having("contact", "address"), having("to"), having("totals")[:1], having("numbers")[:1]
+    for a in lines:
+        a["page_w"], a["page_h"] = page_w, page_h
+        a["contacts"] = sum(b is not a and _below(a, b) for b in near)
+        a["honor"] = next((h for b in honorifics if b is not a and (h := _honorific(a, b))), 0)
+        # In one row with the first line that holds any of the words, and right of it.
+        a["by_total"], a["by_number"] = (any(_same_row(a, k) and a["x"] > k["x"] for k in first) for first in (total, number))
 
 
-def _honorific(a: Column, b: Column) -> Column:
-    """1 where b is an honorific in a's row, right after it; 2 where one stands under a; null otherwise."""
-    is_one = any_of(b.text, HONORIFICS)
-    side = is_one & _same_row(a, b) & (b.x > a.x) & (b.x - (a.x + a.w) < a.h * 6)
-    under = is_one & _below(a, b) & (b.y - (a.y + a.h) < a.h * 3)
-    return F.when(side, 1).when(under, 2)
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks that come by document and in order, to lines."""
+    names, known = ("text", "confidence", *"xywh"), {}
+    out: list[dict] = []
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(b[c].to_pylist() for c in ("document_id", *names)))
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a[c] for a in out], kind) for c, kind in LINE.items()], names=list(LINE))
+
+    for doc, blocks in groupby(rows(), lambda r: r[0]):
+        if found := line_blocks(dict(zip(names, r[1:])) for r in blocks):
+            look_around(found, known)
+            for a in found:
+                a["document_id"] = doc
+            out += found
+        if len(out) >= 10_000:
+            yield made()
+            out = []
+    if out:
+        yield made()
 
 
-def _right_of(a: Column, others: Column, words: list[str]) -> Column:
-    """In one row with the first line that holds any of the words, and right of it."""
-    k = F.try_element_at(F.filter(others, lambda b: any_of(b.text, words)), F.lit(1))
-    return F.coalesce(_same_row(a, k) & (a.x > k.x), F.lit(False))
+def lines(blocks: DataFrame) -> DataFrame:
+    ordered = blocks.repartition("document_id").sortWithinPartitions("document_id", "seq")
+    return ordered.select("document_id", "text", "confidence", *"xywh").mapInArrow(_lines, LINES)
 
 
 def _best(value: Column, score: Column, allowed: Column) -> Column:
@@ -105,24 +148,16 @@ def _best(value: Column, score: Column, allowed: Column) -> Column:
 def extract_fields(blocks: DataFrame) -> DataFrame:
     """blocks (document_id, seq, text, confidence, x, y, w, h) to (document_id, field_key, value, confidence, bbox).
 
-    After the lines are built, all that looks around a line looks into the array of its document's lines, and all choices
-    are aggregates by document.
+    What looks for words or around a line is known where lines are built; other patterns are only tried on lines that can
+    hold them, and all choices are aggregates by document.
     """
-    by_doc = lines(blocks).withColumns({"page_w": F.array_max(F.transform("all", lambda b: b.x + b.w)), "page_h": F.array_max(F.transform("all", lambda b: b.y + b.h))})
-    each = by_doc.select("document_id", "page_w", "page_h", "all", F.explode("all").alias("l"))
-    me = F.col("l")
-    others = F.filter("all", lambda b: b.line != F.col("l.line"))
-    contact = lambda b: _below(me, b) & (looks_like_contact(b.text) | looks_like_address(b.text))
-    honor = F.try_element_at(F.filter(F.transform(others, lambda b: _honorific(me, b)), lambda r: r.isNotNull()), F.lit(1))
-    each = each.select(
-        "document_id", "page_w", "page_h", "l.*", F.size(F.filter(others, contact)).alias("contacts"), F.coalesce(honor, F.lit(0)).alias("honor"),
-        _right_of(me, F.col("all"), TOTALS).alias("by_total"), _right_of(me, F.col("all"), NUMBERS).alias("by_number"),
-    )
-
+    has = lambda *names: F.col("kinds").bitwiseAND(sum(BIT[n] for n in names)) != 0
     t, x, y = F.col("text"), F.col("x"), F.col("y")
-    each = each.withColumns({"date": recognised_date(t), "folded": ascii_fold(t), "name": tidy_name(t), "upper": y < F.col("page_h") / 3, "corporate": has_corporate(t), "title": looks_like_title(t), "to": any_of(t, HONORIFICS), "labelled": any_of(t, REG_LABELS)})
+    each = lines(blocks).withColumns({"digits": t.rlike("[0-9０-９]"), "upper": y < F.col("page_h") / 3, "folded": F.when(t.rlike("[！-～ー−‐]"), ascii_fold(t)).otherwise(t), **{k: has(k) for k in ("corporate", "title", "to", "labelled")}})
+    # A date has a digit before a sign between its parts.
+    each = with_recognised_date(each, "date", F.col("folded"), F.col("digits") & F.col("folded").rlike(r"[0-9]\s*[年月日/.\-]"))
     when = lambda c, s: F.when(c, F.lit(s)).otherwise(F.lit(0.0))
-    named = (F.octet_length("text") >= 6) & ~looks_like_label(t) & ~looks_numeric(t) & (F.col("date") == "")
+    named = (F.octet_length("text") >= 6) & ~has("label") & (F.col("date") == "") & ~looks_numeric(t)
     issuer = (
         when(F.col("contacts") >= 1, 0.35) + when(F.col("contacts") >= 2, 0.15) + when(F.col("upper") & (x >= F.col("page_w") / 2), 0.25) + when(y < F.col("page_h") / 8, 0.2)
         + when(F.col("corporate"), 0.25) - when(F.col("to") | (F.col("honor") != 0), 0.5) - when(F.col("title"), 0.5)
@@ -131,10 +166,11 @@ def extract_fields(blocks: DataFrame) -> DataFrame:
     recipient = recipient + when(F.col("upper") & (x < F.col("page_w") / 2), 0.2) + when(F.col("corporate"), 0.2) - when(F.col("title"), 0.5)
     marked = F.col("folded").contains("No")
     each = each.withColumns({
-        "issuer": F.when(named & ~looks_like_contact(t), issuer), "recipient": F.when(named, recipient),
-        "reg": F.when(F.col("labelled"), find_reg_no_loose(t)).otherwise(find_reg_no(t)), "amount": F.when(F.col("date") == "", recognised_amount(t)),
+        "named": named, "reg": F.when(~F.col("digits"), F.lit("")).when(F.col("labelled"), find_reg_no_loose(t)).when(t.rlike("[TtＴｔ]"), find_reg_no(t)).otherwise(F.lit("")),
+        "amount": F.when(F.col("digits") & (F.col("date") == ""), recognised_amount(t, F.col("folded"))),
         "number": F.when(marked, F.regexp_replace(F.regexp_replace("folded", "(?s)^.*?No", ""), "^[. :]+", "")).otherwise(F.col("folded")),
     })
+    each = each.withColumns({"issuer": F.when(F.col("named") & ~has("contact"), issuer), "recipient": F.when(F.col("named"), recipient), "name": F.when(F.col("named"), tidy_name(t))})
     c = F.col
     chosen = _best(c("name"), c("issuer"), c("issuer").isNotNull())
     each = each.withColumn("issuer_line", F.max_by(F.when(c("issuer") > 0, c("line")), F.when(c("issuer") > 0, F.struct(F.round("issuer", 9), -c("line")))).over(Window.partitionBy("document_id")))
@@ -142,7 +178,7 @@ def extract_fields(blocks: DataFrame) -> DataFrame:
     picks = {
         "issuer_name": chosen, "recipient_name": _best(c("name"), c("recipient"), not_issuer),
         "reg_no": _best(c("reg"), F.when(c("labelled"), 0.95).otherwise(0.6), c("reg") != ""), "issue_date": _best(c("date"), 0.7 + when(c("upper"), 0.3), c("date") != ""),
-        "total": _best(c("amount").cast("string"), 0.2 + when(c("by_total"), 0.6) + when(any_of(t, ["¥", "\\", "円"]), 0.2), F.coalesce(c("amount") > 0, F.lit(False))),
+        "total": _best(c("amount").cast("string"), 0.2 + when(c("by_total"), 0.6) + when(has("money"), 0.2), F.coalesce(c("amount") > 0, F.lit(False))),
         "doc_no": _best(c("number"), 0.2 + F.when(marked, 0.6).when(c("by_number"), 0.5).otherwise(0.0) + when(c("upper"), 0.1), looks_like_doc_no(c("number"))),
     }
     wide = each.groupBy("document_id").agg(*(v.alias(k) for k, v in picks.items())).withColumn("partner_name", c("recipient_name"))
