@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import audit, decision, evaluate, mutations, reads, settlement, states
-from ..operators.staging import staged
+from ..operators.staging import passes
 from .model import model
 from .reading_queries import NOW, now
 from .registry import query
-from .settling_queries import DECIDED, best, formed
+from .settling_queries import DECIDED, formed, partner_forms, txs
 
 
 def _read_again(spark, d):
@@ -139,10 +139,9 @@ def reg_reasons(spark, d):
 SELECT document_id, CASE WHEN best IS NULL THEN 'none' WHEN status = 4 THEN 'low' ELSE CASE status WHEN 1 THEN 'auto' ELSE 'review' END END AS kind, status < 4 AND diff > 0 AS fee, status < 4 AND undated AS undated, status < 4 AND coalesce(early, false) AS early, status = 3 AND n_names IS NOT NULL AS ambiguous FROM facts""")
 def settle_reasons(spark, d):
     """What the reason of each settlement tells."""
-    t = formed(spark, d)
-    found = staged(best(spark, d, t), "best")
+    found = settlement.best_of_all(formed(spark, d), txs(spark, d), None, partner_forms(spark, d), n=passes(model(spark, d, "docs")))
     # What is told here doesn't depend on the list of names.
-    why = settlement.with_reasons(settlement.decide(t, found), found.withColumn("names", F.lit("")))
+    why = settlement.told(found.withColumn("names", F.lit("")))
     kind = F.when(F.col("why").startswith("no transaction"), "none").when(F.col("why").startswith("the best score"), "low").when(F.col("why").contains("is at least"), "auto").otherwise("review")
     told = {"fee": "transfer fee", "undated": "date is unreadable", "early": "perhaps in advance", "ambiguous": "description is cut off and fits"}
     return why.select("document_id", kind.alias("kind"), *(F.col("why").contains(x).alias(c) for c, x in told.items()))
